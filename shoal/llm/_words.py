@@ -31,7 +31,10 @@ def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     coded = words.flatten().dictionary_encode()
     offsets = words.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
-    distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    # No word holds a line feed, so the distinct ones come over as one string.
+    listed = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+    distinct = pc.binary_join(listed, "\n")[0].as_py().split("\n") if len(coded.dictionary) else []
+    at = coded.indices.to_numpy(zero_copy_only=False)
     if "" in distinct:  # the split gives it around white space at the ends of a text
         keep = at != distinct.index("")
         offsets = np.concatenate(([0], np.cumsum(keep)))[offsets]

@@ -12,6 +12,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 from shoal.llm._base import materialise, partitions
 from shoal.llm._words import chunks, split_words, text_column
 
-#: Words that a worker keeps with their ids.
-KEPT_WORDS = 800_000
+#: Bytes of text whose words are looked up together; words, and parts of words, that a worker keeps with their ids.
+CHUNK, KEPT_WORDS = 16_000_000, 900_000
+
+#: Fixed value: the tokenizer's own pattern of parts, which it applies in lower case.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 @dataclass(frozen=True)
@@ -96,20 +100,49 @@ def pack_histogram(counts: dict[int, int], capacity: Capacity = Capacity(), weig
 
 
 class _WordIds:
-    """Token ids of words, kept in the worker; the tokenizer never looks across white space."""
+    """Token ids of words, kept in the worker; the tokenizer never looks across white space.
+
+    Words of Latin-1 letters, which its normalisation only turns to lower case, are cut
+    into parts here, so that a part is merged once whatever stands around it. All
+    other words go through the tokenizer whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.parts = regex.compile(PARTS).findall
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves, the others come after
+        self.signs = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.part_ids: dict[str, list[int]] = {}
         self.start, self.length = np.zeros(4096, dtype=np.int64), np.zeros(4096, dtype=np.int64)
         self.ids, self.end = np.zeros(65536, dtype=np.uint32), 1  # place 0 is the id 0 that ends documents
 
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        known, cut = self.part_ids, []
+        for w in words:
+            if not w.isascii() and max(w) > "\xff":
+                cut.append([w])
+            elif w.isalpha():
+                cut.append([w.lower()])
+            else:
+                cut.append(self.parts(w.lower()))
+        other = {p for parts in cut for p in parts if p not in known}
+        plain = [p for p in other if p.isascii() or max(p) <= "\xff"]
+        merge, signs = self.tokenizer.model.tokenize, self.signs
+        known.update((p, [t.id for t in merge(p.encode().decode("latin-1").translate(signs))]) for p in plain)
+        other = list(other.difference(plain))
+        for at in range(0, len(other), 4096):
+            known.update(zip(other[at : at + 4096], [e.ids for e in self.tokenizer.encode_batch_fast(other[at : at + 4096], add_special_tokens=False)]))
+        return [known[parts[0]] if len(parts) == 1 else list(chain.from_iterable(map(known.__getitem__, parts))) for parts in cut]
+
     def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > KEPT_WORDS:
             self._clear()
@@ -118,31 +151,37 @@ class _WordIds:
         if new:
             while len(index) + len(new) > len(self.start):
                 self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                lists = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                size = np.fromiter(map(len, lists), dtype=np.int64, count=len(part))
-                flat = np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=int(size.sum()))
-                while self.end + len(flat) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.end : self.end + len(flat)] = flat
-                k = len(index)
-                self.start[k : k + len(part)] = self.end + np.concatenate(([0], np.cumsum(size)[:-1]))
-                self.length[k : k + len(part)] = size
-                index.update(zip(part, range(k, k + len(part))))
-                self.end += len(flat)
+            lists = self._encode(new)
+            size = np.fromiter(map(len, lists), dtype=np.int64, count=len(new))
+            flat = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(size.sum()))
+            while self.end + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.end : self.end + len(flat)] = flat
+            k = len(index)
+            self.start[k : k + len(new)] = self.end + np.cumsum(size) - size
+            self.length[k : k + len(new)] = size
+            index.update(zip(new, range(k, k + len(new))))
+            self.end += len(flat)
         at = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
         return self.start[at], self.length[at]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each followed by id 0, and the offsets of the texts."""
+    def encode(self, texts: pa.Array, words_at_once: int = 300_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """All ids of the texts, each followed by id 0, a few texts at a time: (first text, ids, offsets).
+
+        Words are looked up for all texts together, ids laid out for about
+        ``words_at_once`` words, a text at least.
+        """
         words, at, offsets = split_words(texts)
         start, length = self.lookup(words)
-        start, length = np.insert(start[at], offsets[1:], 0), np.insert(length[at], offsets[1:], 1)
-        ends = np.cumsum(length)
-        where = np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
-        cuts = np.concatenate(([0], ends[offsets[1:] + np.arange(len(texts))]))
-        return self.ids[where], cuts
+        row = 0
+        while row < len(texts):
+            to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + words_at_once, side="right")) - 1)
+            some, ends = at[offsets[row] : offsets[to]], offsets[row + 1 : to + 1] - offsets[row]
+            begin, size = np.insert(start[some], ends, 0), np.insert(length[some], ends, 1)
+            after = np.cumsum(size)
+            where = np.repeat(begin - (after - size), size) + np.arange(after[-1])
+            yield row, self.ids[where], np.concatenate(([0], after[ends + np.arange(to - row)]))
+            row = to
 
 
 _encoders: dict[str, _WordIds] = {}
@@ -160,23 +199,26 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, size: int, with_ids: bool
     Null text counts as empty: a piece that holds id 0 only.
     """
 
+    def pieces(doc_ids: pa.Array, ids: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+        n = -(-np.diff(cuts) // size)  # every text has id 0 at least
+        row = np.repeat(np.arange(len(n)), n)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        begin = cuts[row] + piece * size
+        end = np.minimum(begin + size, cuts[row + 1])
+        data = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
+        crc = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip(begin.tolist(), end.tolist())]
+        cols = [doc_ids.take(pa.array(row)), pa.array(piece, type=pa.int32()), pa.array(piece * size), pa.array(end - begin), pa.array(crc, type=pa.int64())]
+        if with_ids:
+            cols.append(pa.array([ids[s:e].astype(np.int32) for s, e in zip(begin, end)], type=pa.list_(pa.int32())))
+        return pa.record_batch(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         for b in batches:
             doc_ids = b.column(0).cast(pa.int64())
-            for first, texts in chunks(text_column(b.column(1))):
-                ids, cuts = encoder.encode(texts)
-                n = -(-np.diff(cuts) // size)  # every text has id 0 at least
-                row = np.repeat(np.arange(len(n)), n)
-                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                begin = cuts[row] + piece * size
-                end = np.minimum(begin + size, cuts[row + 1])
-                data = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
-                crc = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip(begin.tolist(), end.tolist())]
-                cols = [doc_ids.take(pa.array(first + row)), pa.array(piece, type=pa.int32()), pa.array(piece * size), pa.array(end - begin), pa.array(crc, type=pa.int64())]
-                if with_ids:
-                    cols.append(pa.array([ids[s:e].astype(np.int32) for s, e in zip(begin, end)], type=pa.list_(pa.int32())))
-                yield pa.record_batch(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
+            for first, texts in chunks(text_column(b.column(1)), CHUNK):
+                for row, ids, cuts in encoder.encode(texts):
+                    yield pieces(doc_ids.slice(first + row, len(cuts) - 1), ids, cuts)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
