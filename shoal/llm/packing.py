@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
@@ -23,7 +23,7 @@ from shoal.llm._base import materialise, partitions
 from shoal.llm._words import chunks, split_words, text_column
 
 #: Bytes of text whose words are looked up together; words, and parts of words, that a worker keeps with their ids.
-CHUNK, KEPT_WORDS = 16_000_000, 900_000
+CHUNK, KEPT_WORDS, KEPT_PARTS = 16_000_000, 200_000, 500_000
 
 #: Fixed value: the tokenizer's own pattern of parts, which it applies in lower case.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -117,15 +117,17 @@ class _WordIds:
         self.parts = regex.compile(PARTS).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves, the others come after
         self.signs = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
+        self.part_ids: dict[str, tuple[int, ...]] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.part_ids: dict[str, list[int]] = {}
         self.start, self.length = np.zeros(4096, dtype=np.int64), np.zeros(4096, dtype=np.int64)
         self.ids, self.end = np.zeros(65536, dtype=np.uint32), 1  # place 0 is the id 0 that ends documents
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
+    def _encode(self, words: list[str]) -> list[Sequence[int]]:
+        if len(self.part_ids) > KEPT_PARTS:
+            self.part_ids = {}
         known, cut = self.part_ids, []
         for w in words:
             if not w.isascii() and max(w) > "\xff":
@@ -137,7 +139,7 @@ class _WordIds:
         other = {p for parts in cut for p in parts if p not in known}
         plain = [p for p in other if p.isascii() or max(p) <= "\xff"]
         merge, signs = self.tokenizer.model.tokenize, self.signs
-        known.update((p, [t.id for t in merge(p.encode().decode("latin-1").translate(signs))]) for p in plain)
+        known.update((p, tuple([t.id for t in merge(p.encode().decode("latin-1").translate(signs))])) for p in plain)
         other = list(other.difference(plain))
         for at in range(0, len(other), 4096):
             known.update(zip(other[at : at + 4096], [e.ids for e in self.tokenizer.encode_batch_fast(other[at : at + 4096], add_special_tokens=False)]))
@@ -219,6 +221,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, size: int, with_ids: bool
             for first, texts in chunks(text_column(b.column(1)), CHUNK):
                 for row, ids, cuts in encoder.encode(texts):
                     yield pieces(doc_ids.slice(first + row, len(cuts) - 1), ids, cuts)
+        encoder._clear()  # the parts stay for the worker's next task
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
