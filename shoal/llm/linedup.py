@@ -129,26 +129,30 @@ def line_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return by_doc.mapInArrow(run, "doc_id long, th long, blocks array<struct<first:int,last:int>>, partners array<long>")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated blocks gone from ``text``, and removed_lines, partners added.
+def edit_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with repeated blocks gone from ``text``, and shoal_removed, shoal_partners added.
 
     A document is later than another by its doc_id (for one doc_id: by a hash of its
     text). Rows repeating doc_id and text are one document and get the same edit. A
     null text stays null and an empty one empty; rows without doc_id are left as they
-    are; columns named removed_lines or partners are replaced. A document that is
-    repeated wholly becomes empty. An empty table gives an empty result.
+    are. A document that is repeated wholly becomes empty. An empty table gives an
+    empty result.
     """
-    keep = [F.col(c) for c in docs.columns if c not in ("removed_lines", "partners")]
     found = line_blocks(docs, min_words).select(F.col("doc_id").alias("shoal_id"), F.col("th").alias("shoal_th"), F.col("blocks").alias("shoal_blocks"), F.col("partners").alias("shoal_partners"))
-    rows = docs.select(*keep)
-    on = (rows["doc_id"] == F.col("shoal_id")) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == F.col("shoal_th"))
+    on = (docs["doc_id"] == F.col("shoal_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("shoal_th"))
     lines = F.split("text", "\n", -1)
     rest = F.array_join(F.filter(lines, lambda _, i: ~F.exists("shoal_blocks", lambda b: i.between(b["first"], b["last"]))), "\n")
     removed = F.aggregate("shoal_blocks", F.lit(0), lambda n, b: n + b["last"] - b["first"] + 1)
     return (
-        rows.join(found, on, "left")
+        docs.join(found, on, "left")
         .withColumn("text", F.when(F.col("shoal_blocks").isNull(), F.col("text")).otherwise(rest))
-        .withColumn("removed_lines", F.coalesce(removed, F.lit(0)))
-        .withColumn("partners", F.coalesce("shoal_partners", F.array().cast("array<long>")))
-        .drop("shoal_id", "shoal_th", "shoal_blocks", "shoal_partners")
+        .withColumn("shoal_removed", F.coalesce(removed, F.lit(0)))
+        .withColumn("shoal_partners", F.coalesce("shoal_partners", F.array().cast("array<long>")))
+        .drop("shoal_id", "shoal_th", "shoal_blocks")
     )
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text, removed_lines, partners: a row per row, by ``edit_lines``; other columns are ignored."""
+    out = edit_lines(docs.select("doc_id", "text"), min_words)
+    return out.select("doc_id", "text", F.col("shoal_removed").alias("removed_lines"), F.col("shoal_partners").alias("partners"))

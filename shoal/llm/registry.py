@@ -58,7 +58,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines", "partners")
+    return dedup_lines(_table(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
