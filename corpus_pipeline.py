@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shoal.llm._base import materialise
 from shoal.llm.decontam import benchmark_leaks
-from shoal.llm.linedup import dedup_lines
+from shoal.llm.linedup import edit_lines
 from shoal.llm.packing import pack_documents
 from shoal.llm.registry import tokenizer_path
 from shoal.llm.simhash import simhash_components
@@ -29,10 +29,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where a text changes and there is a column n_chars, it follows.
     """
-    out = dedup_lines(docs)
+    out = edit_lines(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("shoal_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
