@@ -114,7 +114,7 @@ class _WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.parts = regex.compile(PARTS).findall
+        self.parts, self.merge = regex.compile(PARTS).findall, self.tokenizer.model.tokenize
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves, the others come after
         self.signs = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
         self.part_ids: dict[str, tuple[int, ...]] = {}
@@ -128,22 +128,31 @@ class _WordIds:
     def _encode(self, words: list[str]) -> list[Sequence[int]]:
         if len(self.part_ids) > KEPT_PARTS:
             self.part_ids = {}
-        known, cut = self.part_ids, []
+        known, one = self.part_ids, self._part
+        out: list[Sequence[int]] = []
+        other: dict[int, str] = {}
         for w in words:
             if not w.isascii() and max(w) > "\xff":
-                cut.append([w])
+                other[len(out)] = w
+                out.append(())
             elif w.isalpha():
-                cut.append([w.lower()])
+                p = w.lower()
+                out.append(known.get(p) or one(p))
+            elif w[-1:] in ".,;:!?" and w[:-1].isalpha():
+                p, q = w[:-1].lower(), w[-1]
+                out.append((known.get(p) or one(p)) + (known.get(q) or one(q)))
             else:
-                cut.append(self.parts(w.lower()))
-        other = {p for parts in cut for p in parts if p not in known}
-        plain = [p for p in other if p.isascii() or max(p) <= "\xff"]
-        merge, signs = self.tokenizer.model.tokenize, self.signs
-        known.update((p, tuple([t.id for t in merge(p.encode().decode("latin-1").translate(signs))])) for p in plain)
-        other = list(other.difference(plain))
-        for at in range(0, len(other), 4096):
-            known.update(zip(other[at : at + 4096], [e.ids for e in self.tokenizer.encode_batch_fast(other[at : at + 4096], add_special_tokens=False)]))
-        return [known[parts[0]] if len(parts) == 1 else list(chain.from_iterable(map(known.__getitem__, parts))) for parts in cut]
+                ids: list[int] = []
+                for p in self.parts(w.lower()):
+                    ids += known.get(p) or one(p)
+                out.append(ids)
+        for e, k in zip(self.tokenizer.encode_batch_fast(list(other.values()), add_special_tokens=False), other):
+            out[k] = e.ids
+        return out
+
+    def _part(self, part: str) -> tuple[int, ...]:
+        ids = self.part_ids[part] = tuple([t.id for t in self.merge(part.encode().decode("latin-1").translate(self.signs))])
+        return ids
 
     def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > KEPT_WORDS:
