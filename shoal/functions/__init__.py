@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 # What words are kept, and the bands of scores.
 WORD_CLASS = r"[\p{L}\p{N}_]"
 MIN_WORD = 4
+STOP_WORDS = (
+    "de", "het", "een", "van", "in", "is", "en", "op", "dat", "te", "zijn", "voor", "met", "aan", "er", "maar", "ze", "bij", "ook", "als", "al", "naar", "om", "dit", "niet", "meer", "was",
+    "we", "je", "ik", "hij", "had", "door", "uit", "zo", "over", "dan", "wat", "nog", "heeft", "wordt", "worden", "zich", "heb", "kunnen", "gaan", "komen", "zal", "zou", "hun", "hen", "die",
+    "werd", "deze", "nu", "mijn", "jouw", "haar", "ons", "onze", "the", "a", "to", "of", "and", "for", "on", "with",
+)
+ORIGINAL_SOUND = ("original sound", "son original", "geluid van", "origineel geluid", "оригинальный звук", "звук", "صوت", "صدای اصلی")
 HIGH, MEDIUM = 0.60, 0.30
 
 
@@ -18,7 +24,7 @@ def falsy_to(col: Column, default: Column) -> Column:
 
 
 def caption_words(text: Column) -> Column:
-    """Words of a caption: tags, mentions and links stripped in that order, then marks; four letters at least."""
+    """Words of a caption: tags, mentions and links stripped in that order, then marks; four letters at least, no stop words."""
     t = F.regexp_replace(text, f"#{WORD_CLASS}+", "")
     t = F.regexp_replace(t, f"@{WORD_CLASS}+", "")
     t = F.regexp_replace(t, r"https?://\S+", "")
@@ -27,7 +33,7 @@ def caption_words(text: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     words = F.split(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " "), r"\s+")
-    return F.transform(F.filter(words, lambda w: F.length(w) >= MIN_WORD), F.lower)
+    return F.transform(F.filter(words, lambda w: (F.length(w) >= MIN_WORD) & ~F.lower(w).isin(*STOP_WORDS)), F.lower)
 
 
 def mentions(text: Column) -> Column:

@@ -28,6 +28,12 @@ def uses(s: SparkSession, d: str) -> DataFrame:
     return l.join(o, "o_orderkey").withColumnRenamed("o_orderkey", "video")
 
 
+def titled_uses(s: SparkSession, d: str) -> DataFrame:
+    """Uses whose sound is what a supplier ships in a month, so that a sound stays with few accounts at any size."""
+    title = F.concat_ws("-", F.col("sound").cast("string"), F.date_format("ts", "yyyyMM"))
+    return uses(s, d).select("account", "video", "ts", title.alias("sound"))
+
+
 def brand_uses(s: SparkSession, d: str, column: str = "p_brand") -> DataFrame:
     p = table(s, d, "part").select(F.col("p_partkey").alias("tag"), F.col(column).alias("brand"))
     return uses(s, d).join(p, "tag").select("account", "video", "ts", F.col("brand").alias("tag"), "sound")

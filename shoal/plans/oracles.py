@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shoal.functions import STOP_WORDS
 from shoal.plans.bindings import DIAL, SPLIT, TREE
 
 _ACC = """acc AS (
@@ -12,6 +13,10 @@ _USES = """uses AS (
   SELECT o_custkey AS account, o_orderkey AS video, o_orderdate AS ts, l_partkey AS tag, l_suppkey AS sound
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 _BUSES = "buses AS (SELECT account, video, ts, p_brand AS tag, sound FROM uses JOIN part ON tag = p_partkey)"
+_TITLED = "titled AS (SELECT account, video, ts, CAST(sound AS VARCHAR) || '-' || strftime(ts, '%Y%m') AS sound FROM uses)"
+_SEDGES = """u AS (SELECT DISTINCT account, sound FROM titled),
+spairs AS (SELECT x.account AS src, y.account AS dst, sound FROM u x JOIN u y USING (sound) WHERE x.account < y.account),
+sedges AS (SELECT src, dst, count(*) AS weight FROM spairs GROUP BY 1, 2 HAVING count(*) >= 2)"""
 
 
 def _top(source: str, name: str, k: int, tag: str = "tag") -> str:
@@ -98,9 +103,9 @@ ORACLE_SQL = {
     "profile_fallback_join": _with(*_BR) + "SELECT account, coalesce((SELECT string_agg(tag, ',' ORDER BY tag) FROM brands t WHERE t.account = acc.account), bio) AS tags FROM acc",
     "caption_keywords_topk": _with(
         rf"words AS (SELECT source AS account, unnest(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '#[\p{{L}}\p{{N}}_]+', '', 'g'), '@[\p{{L}}\p{{N}}_]+', '', 'g'), 'https?://\S+', '', 'g'), '{_WORDS}', ' ', 'g'), '\s+')) AS w FROM documents)",
-        "kept AS (SELECT account, lower(w) AS tag FROM words WHERE length(w) >= 4)", _top("kept", "k30", 30),
+        "kept AS (SELECT account, lower(w) AS tag FROM words WHERE length(w) >= 4 AND lower(w) NOT IN " + str(STOP_WORDS) + ")", _top("kept", "k30", 30),
     ) + "SELECT account, tag, cnt, rank FROM k30",
-    "bio_tokens_multiset": _with(_ACC, "m AS (SELECT account, tag, count(*) AS m FROM (SELECT account, bio AS tag FROM acc WHERE account % 10 = 0 UNION ALL SELECT account, CASE WHEN account % 3 = 0 THEN bio ELSE name END FROM acc WHERE account % 10 = 0) GROUP BY 1, 2)",
+    "bio_tokens_multiset": _with(_ACC, "m AS (SELECT account, tag, count(*) AS m FROM (SELECT account, concat_ws('-', bio, account % 97) AS tag FROM acc UNION ALL SELECT account, CASE WHEN account % 3 = 0 THEN concat_ws('-', bio, account % 97) ELSE CAST(account AS VARCHAR) END FROM acc) GROUP BY 1, 2)",
         "e AS (SELECT x.account AS src, y.account AS dst, 2 * sum(CASE WHEN x.account = y.account THEN x.m * (x.m - 1) // 2 ELSE x.m * y.m END) AS weight FROM m x JOIN m y ON x.tag = y.tag AND x.account <= y.account GROUP BY 1, 2)")
         + "SELECT src = dst AS loop, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight FROM e WHERE weight > 0 GROUP BY 1",
     "mentions_extract": r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '@([\p{L}\p{N}_.]+)', 1))) AS mention FROM documents",
@@ -117,8 +122,8 @@ ORACLE_SQL = {
     "tag_tracker": _with(_USES) + "SELECT tag, count(*) AS mentions, count(DISTINCT account) AS unique_accounts, round(100.0 * count(DISTINCT account) / (SELECT count(*) FROM customer), 1) AS coverage_pct FROM uses GROUP BY 1 HAVING count(*) >= 3",
     "tag_classes": _with(_USES, _BUSES) + """SELECT tag, accounts, CASE WHEN share > 0.3 THEN 'GENERAL' WHEN tag NOT IN ('Brand#11', 'Brand#23') AND NOT contains(tag, '#5') THEN 'NEW-DISCOVERY' WHEN tag IN ('Brand#11', 'Brand#23') THEN 'SEED' ELSE 'DUTCH-KNOWN' END AS class
         FROM (SELECT tag, count(DISTINCT account) AS accounts, count(DISTINCT account) / CAST((SELECT count(*) FROM customer) AS DOUBLE) - 0.4 AS share FROM buses GROUP BY 1)""",
-    "seed_activity": _with(_USES) + "SELECT count(*) AS seeds, count(*) FILTER (mentions >= 3) AS active FROM (SELECT p_partkey AS tag FROM part WHERE p_partkey <= 60) LEFT JOIN (SELECT tag, count(*) AS mentions FROM uses WHERE tag % 2 = 0 OR tag < 20 GROUP BY 1) USING (tag)",
-    "discovery_novelty": _with(_USES, f"o AS (SELECT DISTINCT tag FROM uses WHERE account % 20 = 0 AND ts < TIMESTAMP '{SPLIT}')", f"n AS (SELECT DISTINCT tag FROM uses WHERE account % 20 = 0 AND ts >= TIMESTAMP '{SPLIT}')",
+    "seed_activity": _with(_USES) + "SELECT count(*) AS seeds, count(*) FILTER (mentions >= 30) AS active FROM (SELECT p_partkey AS tag FROM part WHERE p_partkey <= 60) LEFT JOIN (SELECT tag, count(*) AS mentions FROM uses GROUP BY 1) USING (tag)",
+    "discovery_novelty": _with(_USES, _TITLED, f"o AS (SELECT DISTINCT sound FROM titled WHERE ts < TIMESTAMP '{SPLIT}')", f"n AS (SELECT DISTINCT sound FROM titled WHERE ts >= TIMESTAMP '{SPLIT}')",
         "c AS (SELECT (SELECT count(*) FROM (FROM n EXCEPT FROM o)) AS fresh, (SELECT count(*) FROM (FROM n INTERSECT FROM o)) AS repeated, (SELECT count(*) FROM (FROM o EXCEPT FROM n)) AS gone)")
         + "SELECT *, CASE WHEN novel_pct >= 50 THEN 'LOW' WHEN novel_pct >= 20 THEN 'MODERATE' ELSE 'HIGH' END AS saturation FROM (SELECT *, round(100.0 * fresh / greatest(fresh + repeated, 1), 1) AS novel_pct FROM c)",
     "cooccurrence_edges": _with(_USES, _TAGS, _PAIRS) + "SELECT src, dst, shared * 3 AS weight FROM pairs WHERE shared >= 2",
@@ -130,8 +135,8 @@ ORACLE_SQL = {
     "sound_stats": _with(_ACC, _USES) + "SELECT sound, s_name AS title, count(*) AS uses, count(DISTINCT account) AS accounts FROM uses JOIN acc USING (account) JOIN supplier ON sound = s_suppkey WHERE fully_collected AND in_scope GROUP BY 1, 2",
     "sound_originals_split": _with(_ACC, _USES, "st AS (SELECT sound, s_name AS title, count(DISTINCT account) AS accounts FROM uses JOIN acc USING (account) JOIN supplier ON sound = s_suppkey WHERE fully_collected AND in_scope GROUP BY 1, 2)")
         + "SELECT * FROM (SELECT regexp_matches(title, '[02468]$') AS original, sound, accounts, row_number() OVER (PARTITION BY regexp_matches(title, '[02468]$') ORDER BY accounts DESC, sound) AS rank FROM st) WHERE rank <= 20",
-    "sound_edges": _with(_USES, "u AS (SELECT DISTINCT account, sound FROM uses WHERE account % 10 = 0)") + "SELECT x.account AS src, y.account AS dst, count(*) AS weight, string_agg(CAST(sound AS VARCHAR), ',' ORDER BY sound) AS sounds FROM u x JOIN u y USING (sound) WHERE x.account < y.account GROUP BY 1, 2 HAVING count(*) >= 3",
-    "sound_vs_tag_jaccard": _with(_ACC, _USES, "u AS (SELECT DISTINCT sound AS l, account FROM uses WHERE sound % 10 = 0)") + """SELECT l, sub AS r, count(*) AS "both", round(count(*) / CAST((SELECT count(*) FROM u v WHERE v.l = u.l) + (SELECT count(*) FROM acc b WHERE b.sub = acc.sub) - count(*) AS DOUBLE), 6) AS jaccard FROM u JOIN acc USING (account) GROUP BY l, sub""",
+    "sound_edges": _with(_USES, _TITLED, _SEDGES) + "SELECT src, dst, weight, string_agg(sound, ',' ORDER BY sound) AS sounds FROM spairs JOIN sedges USING (src, dst) GROUP BY 1, 2, 3",
+    "sound_vs_tag_jaccard": _with(_ACC, _USES, "u AS (SELECT DISTINCT sound AS l, account FROM uses)") + """SELECT l, sub AS r, count(*) AS "both", round(count(*) / CAST((SELECT count(*) FROM u v WHERE v.l = u.l) + (SELECT count(*) FROM acc b WHERE b.sub = acc.sub) - count(*) AS DOUBLE), 6) AS jaccard FROM u JOIN acc USING (account) GROUP BY l, sub""",
     "tag_tag_cooccurrence": _with(_USES, _BUSES, "t AS (SELECT DISTINCT video, tag FROM buses)") + "SELECT x.tag AS src, y.tag AS dst, count(*) AS weight FROM t x JOIN t y ON x.video = y.video AND x.tag < y.tag GROUP BY 1, 2",
     "df_band_filter": _with(_USES) + "SELECT tag, count(DISTINCT account) AS accounts FROM uses GROUP BY 1 HAVING count(DISTINCT account) >= 3 AND count(DISTINCT account) <= 0.4 * (SELECT count(*) FROM customer)",
     "cluster_density": _with(*_GRAPH, _density("sub")) + "SELECT cluster, size, edges, round(density, 6) AS density, size >= 8 AND density >= 0.03 AS valid FROM dens",

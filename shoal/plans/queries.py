@@ -104,8 +104,7 @@ def caption_keywords_topk(s, d):
 
 @query
 def bio_tokens_multiset(s, d):
-    a = b.accounts(s, d).where("account % 10 = 0")
-    words = a.select("account", F.explode(F.array("bio", F.when(F.col("account") % 3 == 0, F.col("bio")).otherwise(F.col("name")))).alias("tag"))
+    words = b.bio_tokens(s, d).select("account", F.explode(F.array("tag", F.when(F.col("account") % 3 == 0, F.col("tag")).otherwise(F.col("account").cast("string")))).alias("tag"))
     return graph.bio_multiset(words).groupBy((F.col("src") == F.col("dst")).alias("loop")).agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"))
 
 
@@ -170,15 +169,15 @@ def tag_classes(s, d):
 @query
 def seed_activity(s, d):
     seeds = table(s, d, "part").where("p_partkey <= 60").select(F.col("p_partkey").alias("tag"))
-    mentions = b.uses(s, d).where("tag % 2 = 0 or tag < 20").groupBy("tag").agg(F.count(F.lit(1)).alias("mentions"))
-    return profiles.seed_activity(mentions, seeds)
+    mentions = b.uses(s, d).groupBy("tag").agg(F.count(F.lit(1)).alias("mentions"))
+    return profiles.seed_activity(mentions, seeds, 30)
 
 
 @query
 def discovery_novelty(s, d):
-    u = b.uses(s, d).where("account % 20 = 0")
+    u = b.titled_uses(s, d)
     split = F.lit(b.SPLIT).cast("timestamp_ntz")
-    return profiles.novelty(u.where(F.col("ts") < split), u.where(F.col("ts") >= split))
+    return profiles.novelty(u.where(F.col("ts") < split), u.where(F.col("ts") >= split), "sound")
 
 
 # Graph
@@ -235,13 +234,12 @@ def sound_originals_split(s, d):
 
 @query
 def sound_edges(s, d):
-    u = b.uses(s, d).where("account % 10 = 0")
-    return graph.sound_edges(u, 3).select("src", "dst", "weight", F.array_join("sounds", ",").alias("sounds"))
+    return graph.sound_edges(b.titled_uses(s, d)).select("src", "dst", "weight", F.array_join("sounds", ",").alias("sounds"))
 
 
 @query
 def sound_vs_tag_jaccard(s, d):
-    left = b.uses(s, d).where("sound % 10 = 0").select(F.col("sound").alias("l"), "account").distinct()
+    left = b.uses(s, d).select(F.col("sound").alias("l"), "account").distinct()
     right = b.members(s, d).select(F.col("cluster").alias("r"), "account")
     return graph.jaccard(left, right).select("l", "r", "both", r6("jaccard").alias("jaccard"))
 
