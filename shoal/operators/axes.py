@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.operators.profiles import top_k
+
 
 def min_max(rows: DataFrame, cols: list[str]) -> DataFrame:
     """Scale columns to 0-1 over all rows, 0.5 where they don't vary; the raw values are kept."""
@@ -57,12 +59,68 @@ def eta_squared(features: DataFrame, group: str) -> DataFrame:
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Rank correlation with average ranks of ties, in each group."""
+    """Rank correlation with average ranks of ties, in each group; null where a side does not vary."""
     out = rows
     for c in (x, y):
         at = F.row_number().over(Window.partitionBy(*by).orderBy(c))
         out = out.withColumn("at_", at).withColumn(f"r_{c}", F.avg("at_").over(Window.partitionBy(*by, c))).drop("at_")
-    return out.groupBy(*by).agg(F.corr(f"r_{x}", f"r_{y}").alias("r"), F.count(F.lit(1)).alias("n"))
+    spread = F.stddev_pop(f"r_{x}") * F.stddev_pop(f"r_{y}")
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.covar_pop(f"r_{x}", f"r_{y}") / F.nullif(spread, F.lit(0.0))))
+    return out.groupBy(*by).agg(F.when(spread > 0, r).alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+def student_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation over n pairs, by Student's t with n - 2 degrees of freedom.
+
+    The finite series of the distribution for whole degrees of freedom; null under three pairs.
+    """
+    df = n - 2
+    theta = F.atan2(F.abs(r), F.sqrt(1 - r * r))  # tan = t / sqrt(df)
+    cos2, odd = 1 - r * r, df % 2 == 1
+    # terms 1, a1 c, a2 c^2, ...: a_k = (2k - 1) / 2k for even df, 2k / (2k + 1) for odd df
+    steps = F.when(df >= 4, F.sequence(F.lit(1), F.floor((df - 2) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(acc, k):
+        term = acc["term"] * cos2 * F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    series = F.aggregate(steps, start, step)["sum"]
+    inner = F.when(df == 1, 2 * theta / np.pi).when(odd, 2 / np.pi * (theta + F.abs(r) * F.sqrt(cos2) * series)).otherwise(F.abs(r) * series)
+    return F.when(df < 1, None).otherwise(F.greatest(F.lit(0.0), 1 - inner))
+
+
+def axis_correlations(projections: DataFrame, scores: DataFrame, least: int = 4) -> DataFrame:
+    """Rank correlation, and its p, of each component (cluster, pc, mean) with each axis (cluster, axis, score) over shared clusters."""
+    both = projections.join(scores, "cluster")
+    out = spearman(both, "mean", "score", ["pc", "axis"]).where(F.col("n") >= least)
+    return out.select("pc", "axis", F.round("r", 3).alias("r"), F.round(student_p(F.col("r"), F.col("n")), 3).alias("p"), "n")
+
+
+def dense_terms(values: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(doc, vector) over the terms of a TF-IDF table, and the terms in order; as many as its max_features."""
+    terms = [r.term for r in values.select("term").distinct().orderBy("term").collect()]
+    at = values.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
+    rows = values.join(F.broadcast(at), "term").groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("m"))
+    return rows.select("doc", F.transform(F.sequence(F.lit(0), F.lit(len(terms) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector")), terms
+
+
+def loadings(spark, parts: np.ndarray, terms: list[str]) -> DataFrame:
+    """(pc, term, loading) of components over terms."""
+    return spark.createDataFrame([(i + 1, t, float(x)) for i, part in enumerate(parts) for t, x in zip(terms, part)], "pc long, term string, loading double")
+
+
+def top_loadings(table: DataFrame, k: int = 12) -> DataFrame:
+    """The k terms of greatest and of least loading on each component."""
+    up = top_k(table, ["pc"], [F.col("loading").desc(), F.col("term")], k).withColumn("side", F.lit("positive"))
+    return up.unionByName(top_k(table, ["pc"], [F.col("loading"), F.col("term")], k).withColumn("side", F.lit("negative")))
+
+
+def term_projection(values: DataFrame, table: DataFrame) -> DataFrame:
+    """(doc, pc, value): coordinates of documents of a TF-IDF table on components, centred."""
+    dots = values.join(F.broadcast(table), "term").groupBy("doc", "pc").agg(F.sum(F.col("value") * F.col("loading")).alias("value"))  # components x max_features rows
+    means = dots.groupBy("pc").agg(F.avg("value").alias("mean"))
+    return dots.join(F.broadcast(means), "pc").select("doc", "pc", (F.col("value") - F.col("mean")).alias("value"))
 
 
 def pca(rows: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray]:

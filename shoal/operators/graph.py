@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoal.functions import lift
 from shoal.operators.profiles import top_k
 
 
@@ -126,3 +127,29 @@ def sound_edges(uses: DataFrame, least: int = 2) -> DataFrame:
     u = uses.select("account", "sound").distinct()
     pairs = u.select("sound", F.col("account").alias("src")).join(u.select("sound", F.col("account").alias("dst")), "sound").where("src < dst")
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"), F.array_sort(F.collect_list("sound")).alias("sounds")).where(F.col("weight") >= least)
+
+
+def sound_counts(edges: DataFrame, members: DataFrame, k: int = 5) -> DataFrame:
+    """The k sounds that most internal edges of each cluster carry (cluster, sound, cnt, rank)."""
+    inner = with_clusters(edges, members).where("c_src = c_dst").select(F.col("c_src").alias("cluster"), F.explode("sounds").alias("sound"))
+    return top_k(inner.groupBy("cluster", "sound").agg(F.count(F.lit(1)).alias("cnt")), ["cluster"], [F.col("cnt").desc(), F.col("sound")], k)
+
+
+def sound_lift(edges: DataFrame, members: DataFrame, k: int = 10) -> DataFrame:
+    """Lift of the k commonest sounds of each cluster (parent, cluster, account) against the rest of its parent.
+
+    A sound counts once for each edge that carries it, by member. The rest's edges have
+    both ends outside the cluster: all of the parent's, less those that touch the cluster.
+    """
+    m = members.select("account", "parent", "cluster")
+    ends_ = lambda c: m.select(F.col("account").alias(c), F.col("parent").alias(f"p_{c}"), F.col("cluster").alias(f"c_{c}"))
+    e = edges.join(ends_("src"), "src").join(ends_("dst"), "dst").where("p_src = p_dst").select(F.col("p_src").alias("parent"), "c_src", "c_dst", F.explode("sounds").alias("sound"))
+    e = e.groupBy("parent", "c_src", "c_dst", "sound").agg(F.count(F.lit(1)).alias("n"))
+    total = e.groupBy("parent", "sound").agg(F.sum("n").alias("total"))
+    touch = e.select("parent", "sound", "n", (F.col("c_src") == F.col("c_dst")).alias("inside"), F.explode(F.array_distinct(F.array("c_src", "c_dst"))).alias("cluster"))
+    c = touch.groupBy("parent", "cluster", "sound").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("cnt"), F.sum("n").alias("touching")).where("cnt > 0")
+    sizes = m.groupBy("parent", "cluster").agg(F.count(F.lit(1)).alias("n_in"))
+    parents = m.groupBy("parent").agg(F.count(F.lit(1)).alias("n_all"))
+    top = top_k(c, ["parent", "cluster"], [F.col("cnt").desc(), F.col("sound")], k)
+    out = top.join(total, ["parent", "sound"]).join(sizes, ["parent", "cluster"]).join(parents, "parent")
+    return out.withColumn("lift", lift(F.col("cnt"), F.col("n_in"), F.col("total") - F.col("touching"), F.col("n_all") - F.col("n_in"))).select("parent", "cluster", "sound", "cnt", "rank", "lift")

@@ -83,3 +83,15 @@ def chain_signals(profiles: DataFrame, rows: DataFrame, common: int = 30, least:
     counts = token_counts(rows).join(corpus, "tag", "left").withColumn("corpus", F.coalesce("corpus", F.lit(0)))
     scored = counts.where((F.col("corpus") < common) & (F.col("cnt") >= least)).withColumn("score", F.col("cnt") / (F.col("corpus") + 1))
     return top_k(scored, ["account"], [F.col("score").desc(), F.col("tag")], k)
+
+
+def rebuild(accounts: DataFrame, videos: DataFrame, min_videos: int = 1, k: int = 50) -> DataFrame:
+    """Accounts (account, in_scope, fully_collected, tags) with tags anew from their videos (account, video, tag).
+
+    Only collected accounts in scope with ``min_videos`` videos and a tag change.
+    """
+    enough = videos.groupBy("account").agg(F.countDistinct("video").alias("n")).where(F.col("n") >= min_videos)
+    top = profile(videos.join(enough, "account", "left_semi"), k).groupBy("account").agg(F.array_sort(F.collect_list(F.struct("rank", "tag"))).alias("new_"))
+    hit = F.coalesce(F.col("fully_collected") & F.col("in_scope"), F.lit(False)) & F.col("new_").isNotNull()
+    out = accounts.join(top, "account", "left")
+    return out.withColumn("rebuilt", hit).withColumn("tags", F.when(hit, F.transform("new_", lambda x: x["tag"])).otherwise(F.col("tags"))).drop("new_")

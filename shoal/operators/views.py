@@ -65,3 +65,27 @@ def publish_diff(old: DataFrame, new: DataFrame, least: int = 10) -> DataFrame:
         .when(F.abs(F.col("new_size") - F.col("old_size")) >= least, "changed").otherwise("unchanged")
     )
     return o.join(n, "cluster", "full_outer").withColumn("change", change)
+
+
+def new_parts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Parts (cluster, part) of clusters known before that were not there then."""
+    return new.select("cluster", "part").distinct().join(old.select("cluster").distinct(), "cluster", "left_semi").join(old.select("cluster", "part").distinct(), ["cluster", "part"], "left_anti")
+
+
+def contract_violations(blocks: DataFrame, overlaps: DataFrame, recommended: int) -> DataFrame:
+    """(rule, id) of blocks (id, level, parent, kind) and overlaps (id, between) that break the contract.
+
+    The recommended level has blocks; a parent exists, has the same kind and lies one
+    level above; an overlap names two different blocks that exist.
+    """
+    up = blocks.select(F.col("id").alias("parent"), F.lit(True).alias("there"), F.col("kind").alias("up_kind"), F.col("level").alias("up_level"))
+    kids = blocks.where("parent is not null").join(up, "parent", "left")
+    named = overlaps.select("id", F.explode_outer("between").alias("block")).join(blocks.select(F.col("id").alias("block"), F.lit(1).alias("hit")), "block", "left")
+    sound = named.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.when(F.col("hit").isNotNull(), F.col("block"))).alias("known"))
+    level = blocks.agg(F.count_if(F.col("level") == recommended).alias("n")).where("n = 0").select(F.lit("recommended level").alias("rule"), F.lit(str(recommended)).alias("id"))
+    return (
+        level.unionByName(kids.where("there is null").select(F.lit("parent exists").alias("rule"), "id"))
+        .unionByName(kids.where("up_kind <> kind").select(F.lit("parent of same kind").alias("rule"), "id"))
+        .unionByName(kids.where("up_level + 1 <> level").select(F.lit("parent one level above").alias("rule"), "id"))
+        .unionByName(sound.where("n <> 2 or known <> 2").select(F.lit("overlap of two blocks").alias("rule"), "id"))
+    )

@@ -82,3 +82,22 @@ def tree(s: SparkSession) -> DataFrame:
 
 def dial(s: SparkSession) -> DataFrame:
     return s.createDataFrame([(x,) for x in DIAL], "dial double")
+
+
+REJECT, SCOPE = ["mach"], ["build", "furn"]  # signs of accounts to leave out, and of those in scope
+
+
+def hits(s: SparkSession, d: str) -> DataFrame:
+    """Search hits: the videos of a tag, in order of id, with their author."""
+    a = accounts(s, d).select("account", "followers", F.col("name").alias("username"), F.col("bio").alias("display_name"), F.lit("").alias("bio"))
+    return brand_uses(s, d).select("account", F.col("tag").alias("signal"), F.col("video").alias("position")).distinct().join(a, "account").drop("account")
+
+
+def blocks(s: SparkSession, d: str) -> DataFrame:
+    """Regions and nations as blocks, with some links that break the rules."""
+    r = table(s, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent"), F.lit("account").alias("kind"))
+    k = F.col("n_nationkey")
+    n = table(s, d, "nation").select(
+        F.concat(F.lit("n"), k).alias("id"), F.when(k == 3, 2).otherwise(1).alias("level"), F.concat(F.lit("r"), F.when(k == 7, 99).otherwise(F.col("n_regionkey"))).alias("parent"),
+        F.when(k == 5, "content").otherwise("account").alias("kind"))
+    return r.unionByName(n)

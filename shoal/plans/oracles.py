@@ -204,3 +204,47 @@ ORACLE_SQL = {
     "header_stats": _with(*_GRAPH, _ENDS) + "SELECT count(*) AS nodes, CAST(sum(followers) AS BIGINT) AS followers, (SELECT count(*) FROM edges) AS edges FROM acc WHERE account IN (SELECT account FROM ends)",
     "enclosing_circles": "SELECT label, round(any_value(cx), 6) AS cx, round(any_value(cy), 6) AS cy, round(max(sqrt((x - cx) ** 2 + (y - cy) ** 2)) + 26, 6) AS radius FROM (SELECT label, x, y, avg(x) OVER (PARTITION BY label) AS cx, avg(y) OVER (PARTITION BY label) AS cy FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)) GROUP BY 1",
 }
+
+_SINNER = "sin AS (SELECT x.macro, x.sub AS a, y.sub AS b, sound FROM spairs JOIN sedges USING (src, dst) JOIN acc x ON src = x.account JOIN acc y ON dst = y.account WHERE x.macro = y.macro)"
+_HITS = """hits AS (SELECT signal, position, name AS username, bio AS display_name, followers FROM (SELECT DISTINCT account, tag AS signal, video AS position FROM buses) JOIN acc USING (account)),
+ok AS (SELECT * FROM hits WHERE followers <= 9000 AND (followers = 0 OR followers >= 500) AND NOT contains(lower(username || ' ' || display_name), 'mach')),
+fresh AS (SELECT signal, username, min(position) AS position FROM ok WHERE username NOT IN (SELECT name FROM acc WHERE fully_collected) GROUP BY 1, 2)"""
+_HIT = (_ACC, _USES, _BUSES, _HITS)
+_MCT = _ctags("macro")
+_MFIT = _FIT.replace("sub AS cluster", "macro AS cluster").replace("acc.sub", "acc.macro")
+
+ORACLE_SQL |= {
+    "sound_cluster_sounds": _with(_ACC, _USES, _TITLED, _SEDGES, _SINNER) + "SELECT * FROM (SELECT macro AS cluster, sound, count(*) AS cnt, row_number() OVER (PARTITION BY macro ORDER BY count(*) DESC, sound) AS rank FROM sin GROUP BY 1, 2) WHERE rank <= 5",
+    "sound_lift": _with(_ACC, _USES, _TITLED, _SEDGES, _SINNER,
+        "own AS (SELECT * FROM (SELECT macro, a AS cluster, sound, count(*) AS cnt, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, sound) AS rank FROM sin WHERE a = b GROUP BY 1, 2, 3) WHERE rank <= 10)",
+        "rest AS (SELECT cluster, o.sound, count(s.sound) AS rest FROM own o LEFT JOIN sin s ON s.macro = o.macro AND s.sound = o.sound AND s.a <> cluster AND s.b <> cluster GROUP BY 1, 2)",
+        "size AS (SELECT sub AS cluster, macro, count(*) AS n, sum(count(*)) OVER (PARTITION BY macro) AS n_all FROM acc GROUP BY 1, 2)")
+        + "SELECT cluster, sound, cnt, rank, round((cnt / CAST(n AS DOUBLE)) / (rest / CAST(greatest(n_all - n, 1) AS DOUBLE) + 0.01), 6) AS lift FROM own JOIN rest USING (cluster, sound) JOIN size USING (cluster)",
+    "valid_hits": _with(*_HIT) + "SELECT signal, count(*) AS hits, count(DISTINCT username) AS accounts FROM ok GROUP BY 1",
+    "chain_probe": _with(*_HIT, "gate AS (SELECT signal, contains(lower(username || ' ' || display_name), 'build') OR contains(lower(username || ' ' || display_name), 'furn') AS open FROM ok QUALIFY row_number() OVER (PARTITION BY signal ORDER BY position) = 1)",
+        "first AS (SELECT signal, username, row_number() OVER (PARTITION BY signal ORDER BY position, username) AS rank FROM fresh)")
+        + "SELECT signal, NOT any_value(open) AS abandoned, coalesce(string_agg(username, ',' ORDER BY rank) FILTER (open AND rank <= 3), '') AS accounts FROM gate LEFT JOIN first USING (signal) GROUP BY 1",
+    "discovered_accounts": _with(*_HIT) + "SELECT username, signal, position FROM fresh QUALIFY row_number() OVER (PARTITION BY username ORDER BY position, signal) = 1",
+    "collection_outcomes": _with(_ACC) + """SELECT CASE WHEN account % 2 = 0 AND followers BETWEEN 1 AND 999 THEN 'skipped' WHEN account NOT IN (SELECT o_custkey FROM orders) THEN 'unavailable' WHEN followers < 1000 THEN 'too small'
+        WHEN in_scope IS DISTINCT FROM true THEN 'out of scope' ELSE 'collected' END AS outcome, count(*) AS accounts FROM acc GROUP BY 1""",
+    "session_credits": _with(_ACC, "c AS (SELECT sub, 2 + account % 5 AS credits, sum(2 + account % 5) OVER (PARTITION BY sub ORDER BY account) AS run FROM acc)") + "SELECT sub, count(*) AS accounts, CAST(sum(credits) AS BIGINT) AS credits FROM c WHERE run - credits < 100 GROUP BY 1",
+    "node_export": _with(*_GRAPH, _ENDS, _BUSES, _BRANDS, _density("macro"), _MCT, _MFIT, _BRIDGES.replace(".sub", ".macro"), "idx AS (SELECT cluster, row_number() OVER (ORDER BY size DESC, cluster) AS cluster_index FROM dens WHERE size >= 8 AND density >= 0.03)")
+        + "SELECT account, followers, cluster_index, CAST(sub AS VARCHAR) AS sub_label, round(fit, 3) AS fit_score, fit < 0.15 AND cluster_index IS NOT NULL AS is_outlier, account IN (SELECT account FROM bridges) AS is_bridge FROM acc JOIN fit USING (account) LEFT JOIN idx ON idx.cluster = macro",
+    "cluster_tree_json": _with(_ACC, """leaf AS (SELECT macro, sub, bio, count(*) AS n, CAST(sum(followers) AS BIGINT) AS f, macro || '·' || sub || '·' || bio AS id FROM acc GROUP BY 1, 2, 3)""",
+        """mid AS (SELECT macro, macro || '·' || sub AS id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(f) AS BIGINT) AS f, string_agg('{"id":"' || id || '","size":' || n || ',"reach":' || f || ',"subclusters":[]}', ',' ORDER BY n DESC, id) AS kids FROM leaf GROUP BY macro, sub)""")
+        + """SELECT CAST(macro AS VARCHAR) AS id, '{"id":"' || macro || '","size":' || CAST(sum(n) AS BIGINT) || ',"reach":' || CAST(sum(f) AS BIGINT) || ',"subclusters":[' || string_agg('{"id":"' || id || '","size":' || n || ',"reach":' || f || ',"subclusters":[' || kids || ']}', ',' ORDER BY n DESC, id) || ']}' AS json FROM mid GROUP BY macro""",
+    "naming_requests": _with(*_GRAPH, _BUSES, _BRANDS, _density("sub"), _ctags("sub", 8),
+        "tops AS (SELECT sub AS cluster, account, row_number() OVER (PARTITION BY sub ORDER BY followers DESC, account) AS rank FROM acc)",
+        "t AS (SELECT cluster, string_agg('#' || tag, ', ' ORDER BY rank) AS tags, string_agg(tag, ',' ORDER BY tag) FILTER (rank <= 5) AS key FROM ctags GROUP BY 1)")
+        + """SELECT cluster, key, 'Name this group.' || chr(10) || 'accounts: ' || size || chr(10) || 'density: ' || CAST(round(100 * density, 0) AS BIGINT) || ' %' || chr(10) || 'tags: ' || tags || chr(10) || 'most followed: '
+        || (SELECT string_agg('@' || account, ', ' ORDER BY rank) FROM tops WHERE tops.cluster = t.cluster AND rank <= 6) || chr(10) || 'Reply with JSON: {"name": three to six words without tags, "description": one sentence}' AS prompt
+        FROM t JOIN dens USING (cluster) WHERE key NOT IN (SELECT key FROM t WHERE cluster % 4 = 0)""",
+    "rebuild_profiles": _with(_ACC, _USES, _BUSES, _BRANDS, "many AS (SELECT account FROM buses GROUP BY 1 HAVING count(DISTINCT video) >= 5)", "lists AS (SELECT account, string_agg(tag, ',' ORDER BY rank) AS l FROM brands JOIN many USING (account) GROUP BY 1)")
+        + "SELECT account, r AS rebuilt, CASE WHEN r THEN l ELSE bio END AS tags FROM (SELECT account, bio, l, coalesce(fully_collected AND in_scope, false) AND l IS NOT NULL AS r FROM acc LEFT JOIN lists USING (account))",
+    "publish_new_parts": _with(_ACC, "p AS (SELECT macro AS cluster, sub || '-' || strftime(o_orderdate, '%m') AS part, o_orderdate AS ts FROM orders JOIN acc ON o_custkey = account)",
+        f"o AS (SELECT DISTINCT cluster, part FROM p WHERE ts < TIMESTAMP '{SPLIT}' AND cluster <> 2 AND part NOT LIKE '%07')", f"n AS (SELECT DISTINCT cluster, part FROM p WHERE ts >= TIMESTAMP '{SPLIT}')")
+        + "SELECT * FROM (FROM n EXCEPT FROM o) WHERE cluster IN (SELECT cluster FROM o)",
+    "contract_rules": """SELECT 'recommended level' AS rule, '4' AS id UNION ALL SELECT 'parent exists', 'n' || n_nationkey FROM nation WHERE n_nationkey = 7
+        UNION ALL SELECT 'parent of same kind', 'n' || n_nationkey FROM nation WHERE n_nationkey = 5 UNION ALL SELECT 'parent one level above', 'n' || n_nationkey FROM nation WHERE n_nationkey = 3
+        UNION ALL SELECT 'overlap of two blocks', 'o' || n_nationkey FROM nation WHERE n_nationkey + 1 NOT IN (SELECT n_nationkey FROM nation)""",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoal import functions as fn
-from shoal.operators import axes, community, graph, profiles, views
+from shoal.operators import axes, community, discovery, exports, graph, profiles, views
 from shoal.plans import bindings as b
 from shoal.sources import first_wins, frontier, in_scope, json_array, latest, set_flags, table
 
@@ -636,3 +636,142 @@ def enclosing_circles(s, d):
     c = v.groupBy("label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     far = F.max(F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2))) + 26
     return v.join(F.broadcast(c), "label").groupBy("label").agg(r6(F.first("cx")).alias("cx"), r6(F.first("cy")).alias("cy"), r6(far).alias("radius"))
+
+
+# Sounds
+
+
+def _sound_edges(s, d):
+    return graph.sound_edges(b.titled_uses(s, d))
+
+
+@query
+def sound_cluster_sounds(s, d):
+    return graph.sound_counts(_sound_edges(s, d), b.members(s, d, "macro"))
+
+
+@query
+def sound_lift(s, d):
+    m = b.accounts(s, d).select("account", F.col("macro").alias("parent"), F.col("sub").alias("cluster"))
+    return graph.sound_lift(_sound_edges(s, d), m).select("cluster", "sound", "cnt", "rank", r6("lift").alias("lift"))
+
+
+@query
+def sound_communities(s, d):
+    return community.recursive_sounds(_sound_edges(s, d)).select("account", F.array_join("path", "·").alias("path"))
+
+
+@query
+def leiden_macro(s, d):
+    return community.partition(b.edges(s, d).where("weight >= 3"), method="leiden")
+
+
+# Discovery
+
+
+def _valid(s, d):
+    return discovery.valid_hits(b.hits(s, d), b.REJECT, 500, 9000)
+
+
+def _known(s, d):
+    return b.accounts(s, d).where("fully_collected").select(F.col("name").alias("username"))
+
+
+@query
+def valid_hits(s, d):
+    return _valid(s, d).groupBy("signal").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("username").alias("accounts"))
+
+
+@query
+def chain_probe(s, d):
+    return discovery.chain_probe(_valid(s, d), _known(s, d), b.SCOPE).select("signal", "abandoned", F.array_join("accounts", ",").alias("accounts"))
+
+
+@query
+def discovered_accounts(s, d):
+    return discovery.discovered(_valid(s, d), _known(s, d), ["position", "signal"]).select("username", "signal", "position")
+
+
+@query
+def collection_outcomes(s, d):
+    a, videos = b.accounts(s, d), table(s, d, "orders").select(F.col("o_custkey").alias("account")).distinct().withColumn("found", F.lit(True))
+    known = F.when(F.col("account") % 2 == 0, F.col("followers")).otherwise(0)
+    outcome = discovery.collection_outcome(known, F.col("found"), F.col("followers"), F.col("in_scope"), 1000)
+    return a.join(videos, "account", "left").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("accounts"))
+
+
+@query
+def session_credits(s, d):
+    cost = b.accounts(s, d).select("sub", "account", "followers", (2 + F.col("account") % 5).alias("credits"))
+    return discovery.credits_left(cost, 100, ["sub"], ["account"]).groupBy("sub").agg(F.count(F.lit(1)).alias("accounts"), F.sum("credits").alias("credits"))
+
+
+# Exports
+
+
+@query
+def node_export(s, d):
+    m = b.members(s, d, "macro")
+    valid = graph.validity(graph.density(b.edges(s, d), m)).where("valid")
+    index = valid.withColumn("cluster_index", F.row_number().over(Window.orderBy(F.col("size").desc(), "cluster")).cast("long"))  # a row a cluster
+    subs = b.accounts(s, d).select("account", F.lit(1).alias("depth"), F.col("sub").cast("string").alias("label"))
+    t = b.brands(s, d)
+    return exports.node_table(m, index, subs, graph.fit_scores(t, m, graph.cluster_tags(t, m)), graph.bridges(b.edges(s, d), m))
+
+
+@query
+def cluster_tree_json(s, d):
+    rows = views.expand_paths(_paths(s, d)).groupBy(F.split("cluster_path", "·").alias("path")).agg(F.count(F.lit(1)).alias("size"), F.sum("followers").cast("long").alias("reach"))
+    return exports.nested(rows, 3, ["reach"])
+
+
+@query
+def naming_requests(s, d):
+    m = b.members(s, d)
+    top = profiles.top_k(m, ["cluster"], [F.col("followers").desc(), F.col("account")], 6).groupBy("cluster").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "account"))), lambda x: x["account"].cast("string")).alias("accounts"))
+    c = graph.density(b.edges(s, d), m).join(_top_lists(s, d, 8), "cluster").join(top, "cluster").withColumn("hints", F.array().cast("array<string>"))
+    names = _top_lists(s, d, 8).where("cluster % 4 = 0").select(exports.name_key(F.col("tags")).alias("key"), F.lit("known").alias("name"))
+    return exports.name_requests(c, names, "group")
+
+
+@query
+def rebuild_profiles(s, d):
+    a = b.accounts(s, d).withColumn("tags", F.array("bio"))
+    return profiles.rebuild(a, b.brand_uses(s, d), 5, 5).select("account", "rebuilt", F.array_join("tags", ",").alias("tags"))
+
+
+@query
+def publish_new_parts(s, d):
+    o = table(s, d, "orders").join(b.accounts(s, d).select(F.col("account").alias("o_custkey"), "macro", "sub"), "o_custkey").select("o_orderdate", F.col("macro").alias("cluster"), F.concat_ws("-", "sub", F.date_format("o_orderdate", "MM")).alias("part"))
+    split = F.lit(b.SPLIT).cast("timestamp_ntz")
+    return views.new_parts(o.where((F.col("o_orderdate") < split) & (F.col("cluster") != 2) & ~F.col("part").endswith("07")), o.where(F.col("o_orderdate") >= split))
+
+
+@query
+def contract_rules(s, d):
+    pairs = table(s, d, "nation").select(F.concat(F.lit("o"), "n_nationkey").alias("id"), F.array(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("n"), F.col("n_nationkey") + 1)).alias("between"))
+    return views.contract_violations(b.blocks(s, d), pairs, 4)
+
+
+# Components of tags
+
+
+def _components(s, d):
+    values = axes.tfidf(b.brands(s, d, 10).select(F.col("account").alias("doc"), F.col("tag").alias("term")), 3, 300)
+    vectors, terms = axes.dense_terms(values)
+    return values, axes.loadings(s, axes.pca(vectors, "vector", min(8, len(terms)))[0], terms)
+
+
+@query
+def pc_loadings(s, d):
+    return axes.top_loadings(_components(s, d)[1], 5).select("pc", "side", "rank", "term", r6("loading").alias("loading"))
+
+
+@query
+def axis_correlations(s, d):
+    """Rank correlation of each component of tags with each axis, over nations."""
+    values, table_ = _components(s, d)
+    at = axes.term_projection(values, table_).join(b.members(s, d).select(F.col("account").alias("doc"), "cluster"), "doc")
+    means = at.groupBy("cluster", "pc").agg(F.avg("value").alias("mean"))
+    return axes.axis_correlations(means, _axes(s, d).unpivot("cluster", ["political", "trust", "faith", "reach"], "axis", "score"))

@@ -1,12 +1,15 @@
 """Hand-computed cases (FIXTURES.md) and invariants."""
 
+import json
+import math
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shoal import functions as fn
-from shoal.operators import axes, community, graph, views
+from shoal.operators import axes, community, discovery, exports, graph, views
 from shoal.operators.profiles import group_lift, tag_class
 from shoal.sources import API_VIDEO, first_wins, json_document, latest, line_file, merge_accounts, normalise_videos
 
@@ -165,3 +168,93 @@ def test_stream_of_upserts(spark, tmp_path):
     q = stream_latest(spark.readStream.schema("id string, seq int, v string").parquet(str(tmp_path / "in")), ["id"], ["seq"], lambda df, n: got.extend(df.collect()), str(tmp_path / "ck"))
     q.awaitTermination()
     assert [r.v for r in got] == ["b"]
+
+
+def test_leiden(spark):
+    e = [(a, b, w) for a, b, w in _cliques()]
+    part = community.leiden(e)
+    assert {n: part[n] for n in range(12)} == {n: 0 if n < 6 else 6 for n in range(12)}
+    df = rows(spark, [(a, b, int(w)) for a, b, w in e], "src long, dst long, weight long")
+    assert {r.account: r.cluster for r in community.partition(df, method="leiden").collect()} == part
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.tuples(st.integers(0, 12), st.integers(0, 12)).filter(lambda x: x[0] < x[1]), min_size=1))
+def test_leiden_communities_are_connected(pairs):
+    edges = [(a, b, 1.0) for a, b in sorted(pairs)]
+    part = community.leiden(edges)
+    assert set(part) == {n for p in pairs for n in p} and _modularity(edges, part) >= -1e-9
+    for c in set(part.values()):
+        members = {n for n in part if part[n] == c}
+        seen, todo = {min(members)}, [min(members)]
+        while todo:
+            v = todo.pop()
+            for a, b, _ in edges:
+                for x, y in ((a, b), (b, a)):
+                    if x == v and y in members - seen:
+                        seen.add(y)
+                        todo.append(y)
+        assert seen == members
+
+
+def test_explained_entropy(spark):
+    parts = rows(spark, [("p", c, a) for c, a in ((0, 1), (0, 2), (1, 3), (1, 4))], "p string, cluster long, account long")
+    pure = rows(spark, [(1, "a"), (2, "a"), (3, "b"), (4, "b")], "account long, tag string")
+    assert community.explained_entropy(parts, pure).first().ratio == pytest.approx(1.0)
+    assert community.explained_entropy(parts, pure.replace("b", "a")).first().ratio == 0.0
+
+
+def test_sounds(spark):
+    uses = [(a, f"x{i}") for a in range(4) for i in range(3)] + [(a, f"y{i}") for a in range(4, 8) for i in range(2)] + [(3, "z"), (4, "z"), (0, "w"), (4, "w"), (9, "only")]
+    e = graph.sound_edges(rows(spark, uses, "account long, sound string"), 1)
+    m = rows(spark, [(a, "p", "l" if a < 4 else "r") for a in range(8)], "account long, parent string, cluster string")
+    got = {(r.cluster, r.sound): (r.cnt, r.lift) for r in graph.sound_lift(e, m).collect()}
+    assert got["l", "x0"] == (6, pytest.approx((6 / 4) / 0.01)) and ("l", "z") not in got and ("r", "y1") in got
+    assert {r.sound for r in graph.sound_counts(e, m).where("cluster = 'r'").collect()} == {"y0", "y1"}
+    strong = graph.sound_edges(rows(spark, uses, "account long, sound string"))
+    paths = {r.account: r.path for r in community.recursive_sounds(strong).collect()}
+    assert len({tuple(paths[a]) for a in range(4)}) == len({tuple(paths[a]) for a in range(4, 8)}) == 1 and paths[0] != paths[4]
+
+
+@pytest.mark.parametrize("r,n", [(0.5, 3), (0.5, 4), (0.5, 5), (-0.3, 12), (0.8, 25), (0.1, 200), (1.0, 6)])
+def test_p_of_correlation(spark, r, n):
+    df, steps = n - 2, 200_000
+    t = abs(r) * math.sqrt(df / max(1 - r * r, 1e-300))
+    f = lambda x: (1 + x * x / df) ** (-(df + 1) / 2)
+    u = lambda s: f(math.tan(s)) / math.cos(s) ** 2
+    area = lambda hi: sum(u(hi * (i + 0.5) / steps) for i in range(steps)) * hi / steps
+    assert value(spark, axes.student_p(F.lit(float(r)), F.lit(n))) == pytest.approx(1 - area(math.atan(t)) / area(math.pi / 2), abs=2e-5)
+
+
+def test_discovery(spark):
+    hits = rows(spark, [
+        ("t", 1, "x_usa", "", "", 9000), ("t", 2, "tiny", "", "", 100), ("t", 3, "huge", "", "", 4_000_000), ("t", 4, "gate", "nl", "", 0), ("t", 5, "a", "", "", None), ("t", 6, "known", "", "", 6000),
+        ("t", 7, "a", "", "", 6000), ("t", 8, "b", "", "", 6000), ("t", 9, "c", "", "", 6000), ("u", 1, "", "nl", "", 6000), ("u", 2, "d", "", "", 6000), ("u", 3, "e", "nl", "", 6000),
+    ], "signal string, position long, username string, display_name string, bio string, followers long")
+    known = rows(spark, [("known",)], "username string")
+    valid = discovery.valid_hits(hits)
+    assert {(r.signal, r.abandoned, tuple(r.accounts)) for r in discovery.chain_probe(valid, known, ["nl"]).collect()} == {("t", False, ("gate", "a", "b")), ("u", True, ())}
+    assert {r.username for r in discovery.discovered(valid, known, ["signal", "position"]).collect()} == {"gate", "a", "b", "c", "d", "e"}
+    out = lambda *a: value(spark, discovery.collection_outcome(*(F.lit(x) for x in a)))
+    assert [out(100, True, 9000, True), out(0, None, 9000, True), out(0, True, 0, True), out(0, True, 9000, None), out(None, True, 9000, True)] == ["skipped", "unavailable", "too small", "out of scope", "collected"]
+    left = discovery.credits_left(rows(spark, [("s", i, 4) for i in range(5)], "s string, i int, credits long"), 9, ["s"], ["i"])
+    assert left.count() == 3
+
+
+def test_exports(spark):
+    tree = rows(spark, [(["a"], 5), (["a", "x"], 2), (["a", "y"], 3), (["b"], 1)], "path array<string>, size long")
+    got = {r.id: json.loads(r.json) for r in exports.nested(tree, 2, []).collect()}
+    assert [s["id"] for s in got["a"]["subclusters"]] == ["a·y", "a·x"] and got["b"] == {"id": "b", "size": 1, "subclusters": []}
+    replies = ['```json\n{"name": "N", "description": "D"}\n```', '{"name": "N", "description": "D"}', "sorry"]
+    assert [tuple(value(spark, exports.parse_reply(F.lit(x))) or ()) for x in replies][:2] == [("N", "D")] * 2
+    assert value(spark, exports.parse_reply(F.lit("sorry")))["name"] is None
+    c = rows(spark, [(1, 8, 0.5, ["b", "a"], ["u"], ["h"]), (2, 9, 0.5, ["c"], ["v"], [])], "cluster long, size long, density double, tags array<string>, accounts array<string>, hints array<string>")
+    asked = exports.name_requests(c, rows(spark, [("c", "known"), ("a,b", "")], "key string, name string"), "group").collect()
+    assert [r.cluster for r in asked] == [1] and "#b, #a" in asked[0].prompt and "parts: h" in asked[0].prompt and "50 %" in asked[0].prompt
+
+
+def test_contract(spark):
+    blocks = rows(spark, [("b1", 0, None, "account"), ("b1a", 1, "b1", "account"), ("b1b", 2, "b1", "content"), ("b2", 1, "gone", "account")], "id string, level int, parent string, kind string")
+    overlaps = rows(spark, [("o1", ["b1", "b1a"]), ("o2", ["b1", "b1"]), ("o3", ["b1"]), ("o4", ["b1", "none"]), ("o5", None)], "id string, between array<string>")
+    got = {(r.rule, r.id) for r in views.contract_violations(blocks, overlaps, 7).collect()}
+    assert got == {("recommended level", "7"), ("parent exists", "b2"), ("parent of same kind", "b1b"), ("parent one level above", "b1b")} | {("overlap of two blocks", f"o{i}") for i in (2, 3, 4, 5)}
