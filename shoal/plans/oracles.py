@@ -146,7 +146,7 @@ ORACLE_SQL = {
     "cluster_top_tags": _with(*_BR, _ctags("sub")) + "SELECT cluster, tag, cnt, rank FROM ctags",
     "cluster_bridges": _with(*_GRAPH, _ENDS, _BRIDGES) + "SELECT cluster, account, external, rank FROM bridges",
     "fit_scores": _with(*_BR, _ctags("sub"), _FIT) + "SELECT account, cluster, round(fit, 6) AS fit FROM fit",
-    "mean_fit": _with(*_BR, _ctags("sub"), _FIT) + "SELECT cluster, round(avg(fit), 6) AS mean_fit FROM fit GROUP BY 1",
+    "mean_fit": _with(*_BR, _ctags("sub"), _FIT) + "SELECT cluster, round(avg(fit) + 1e-9, 6) AS mean_fit FROM fit GROUP BY 1",
     "outliers": _with(*_BR, _ctags("sub"), _FIT) + "SELECT * FROM (SELECT cluster, account, round(fit, 6) AS fit, row_number() OVER (PARTITION BY cluster ORDER BY fit.fit, account) AS rank FROM fit WHERE fit < 0.15) WHERE rank <= 4",
     "cross_affinity": _with(*_BR, _ctags("macro")) + """SELECT account, cluster, other, round(affinity, 6) AS affinity FROM (
         SELECT t.account, acc.macro AS cluster, c.cluster AS other, count(*) / CAST((SELECT count(*) FROM ctags k WHERE k.cluster = c.cluster) AS DOUBLE) AS affinity

@@ -302,7 +302,7 @@ def fit_scores(s, d):
 
 @query
 def mean_fit(s, d):
-    return _fit(s, d).groupBy("cluster").agg(r6(F.avg("fit")).alias("mean_fit"))
+    return _fit(s, d).groupBy("cluster").agg(r6(F.avg("fit") + 1e-9).alias("mean_fit"))  # exact halves go up in any engine
 
 
 @query
