@@ -16,6 +16,29 @@ STOP_WORDS = (
 ORIGINAL_SOUND = ("original sound", "son original", "geluid van", "origineel geluid", "оригинальный звук", "звук", "صوت", "صدای اصلی")
 HIGH, MEDIUM = 0.60, 0.30
 
+# What makes a free-text query a hypothesis, in Dutch and, besides, in English.
+HYPOTHESIS_NL = (
+    r"\bbestaat\b", r"\bklopt\b", r"\bis het zo dat\b", r"\bzou\b.*\b(bubbel|cluster)\b", r"\bcombinatie\b", r"\btegelijk(ertijd)?\b", r"\b(én|zowel).+\bals\b", r"\?\z", r"\bwaar of niet\b",
+    r"\bsamen\b.+\bbubbel\b", r"\bblijken\b", r"\bveronderstelling\b", r"\bthese\b", r"\bhypothese\b", r"\bdie ook\b", r"\bmaar ook\b", r"\ben ook\b", r"\btegelijk\b",
+)
+HYPOTHESIS_EN = (
+    r"\bexist[s]?\b.*\bbubble\b", r"\bis it true\b", r"\bdo.*both\b", r"\bsame bubble\b", r"\?\z", r"\bhypothesis\b", r"\bsuppose\b", r"\bwho also\b", r"\bbut also\b", r"\band also\b",
+    r"\bat the same time\b", r"\bcombination\b", r"\bcoexist\b", r"\boverlap\b",
+)
+
+
+def query_mode(text: Column, lang: str = "nl") -> Column:
+    """Whether a free-text query states a hypothesis or asks for a match."""
+    out = F.lit(False)
+    for pattern in HYPOTHESIS_NL + (HYPOTHESIS_EN if lang == "en" else ()):
+        out = out | text.rlike(f"(?iu){pattern}")
+    return F.when(out, "hypothesis").otherwise("match")
+
+
+def original_sound(title: Column) -> Column:
+    """True for the title of a sound that an account made itself."""
+    return any_substring(title, list(ORIGINAL_SOUND))
+
 
 def falsy_to(col: Column, default: Column) -> Column:
     """``default`` where a value is null, zero or empty."""

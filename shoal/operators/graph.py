@@ -115,6 +115,12 @@ def entropy(counts: DataFrame, by: list[str]) -> DataFrame:
     return joined.groupBy(*by, "n").agg((-F.sum(p * F.log2(p))).alias("entropy"))
 
 
+def main_cluster(uses: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The cluster of tags (tag, cluster) that each account uses most, ties by cluster; accounts without any are left out."""
+    counts = uses.join(clusters.select("tag", "cluster"), "tag").groupBy("account", "cluster").agg(F.count(F.lit(1)).alias("cnt"))
+    return top_k(counts, ["account"], [F.col("cnt").desc(), F.col("cluster")], 1).drop("rank")
+
+
 def jaccard(left: DataFrame, right: DataFrame, member: str = "account") -> DataFrame:
     """Jaccard of each pair of a left and a right group that share a member (columns l, r)."""
     nl, nr = left.groupBy("l").agg(F.count(F.lit(1)).alias("nl")), right.groupBy("r").agg(F.count(F.lit(1)).alias("nr"))

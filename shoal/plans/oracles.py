@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoal.functions import STOP_WORDS
+from shoal.functions import HYPOTHESIS_EN, HYPOTHESIS_NL, STOP_WORDS
 from shoal.plans.bindings import DIAL, SPLIT, TREE
 
 _ACC = """acc AS (
@@ -200,7 +200,7 @@ ORACLE_SQL = {
     "soft_membership_rules": _with(_ACC, _USES, _SOFT) + "SELECT state, count(*) AS accounts, round(avg(best), 6) AS best FROM (SELECT account, max(membership) AS best, CASE WHEN max(membership) < 0.3 THEN 'unknown' ELSE 'member' END AS state FROM soft GROUP BY 1) GROUP BY 1",
     "overlap_lens": _with(_ACC, _USES, _SOFT) + "SELECT x.block AS left_block, y.block AS right_block, count(*) AS shared FROM soft x JOIN soft y ON x.account = y.account AND x.block < y.block WHERE x.membership >= 0.2 AND y.membership >= 0.2 GROUP BY 1, 2",
     "coupling_weights": _with(*_BR) + "SELECT sub AS block, tag, count(*) AS weight FROM brands JOIN acc USING (account) GROUP BY 1, 2",
-    "mode_detection": r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)(^|\s)(the|and|is)\s') THEN 'english' ELSE 'other' END AS mode FROM conversations",
+    "mode_detection": "SELECT conv_id, turn, CASE WHEN " + " OR ".join(f"regexp_matches(coalesce(text, ''), '(?i){p}')" for p in HYPOTHESIS_NL + HYPOTHESIS_EN) + " THEN 'hypothesis' ELSE 'match' END AS mode FROM conversations",
     "header_stats": _with(*_GRAPH, _ENDS) + "SELECT count(*) AS nodes, CAST(sum(followers) AS BIGINT) AS followers, (SELECT count(*) FROM edges) AS edges FROM acc WHERE account IN (SELECT account FROM ends)",
     "enclosing_circles": "SELECT label, round(any_value(cx), 6) AS cx, round(any_value(cy), 6) AS cy, round(max(sqrt((x - cx) ** 2 + (y - cy) ** 2)) + 26, 6) AS radius FROM (SELECT label, x, y, avg(x) OVER (PARTITION BY label) AS cx, avg(y) OVER (PARTITION BY label) AS cy FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)) GROUP BY 1",
 }
@@ -214,6 +214,7 @@ _MCT = _ctags("macro")
 _MFIT = _FIT.replace("sub AS cluster", "macro AS cluster").replace("acc.sub", "acc.macro")
 
 ORACLE_SQL |= {
+    "account_main_cluster": _with(_USES) + "SELECT account, p_brand AS cluster, count(*) AS cnt FROM uses JOIN part ON tag = p_partkey GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY account ORDER BY count(*) DESC, p_brand) = 1",
     "sound_cluster_sounds": _with(_ACC, _USES, _TITLED, _SEDGES, _SINNER) + "SELECT * FROM (SELECT macro AS cluster, sound, count(*) AS cnt, row_number() OVER (PARTITION BY macro ORDER BY count(*) DESC, sound) AS rank FROM sin GROUP BY 1, 2) WHERE rank <= 5",
     "sound_lift": _with(_ACC, _USES, _TITLED, _SEDGES, _SINNER,
         "own AS (SELECT * FROM (SELECT macro, a AS cluster, sound, count(*) AS cnt, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, sound) AS rank FROM sin WHERE a = b GROUP BY 1, 2, 3) WHERE rank <= 10)",

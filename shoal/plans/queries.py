@@ -249,6 +249,19 @@ def tag_tag_cooccurrence(s, d):
     return graph.cooccurrence(b.brand_uses(s, d).select("video", "tag"), 1, owner="tag", token="video")
 
 
+@query
+def account_main_cluster(s, d):
+    return graph.main_cluster(b.uses(s, d), table(s, d, "part").select(F.col("p_partkey").alias("tag"), F.col("p_brand").alias("cluster")))
+
+
+@query
+def tag_communities(s, d):
+    """Tags within the frequency band, tied by the videos they share, in communities; accounts go to the one they use most."""
+    u, band = b.uses(s, d), df_band_filter(s, d).select("tag")
+    ties = graph.cooccurrence(u.join(band, "tag", "left_semi").select("video", "tag"), 1, owner="tag", token="video")
+    return graph.main_cluster(u, community.partition(ties).withColumnRenamed("account", "tag"))
+
+
 @query
 def df_band_filter(s, d):
     total = F.broadcast(table(s, d, "customer").agg(F.count(F.lit(1)).alias("total")))
@@ -619,7 +632,7 @@ def coupling_weights(s, d):
 
 @query
 def mode_detection(s, d):
-    return table(s, d, "conversations").select("conv_id", "turn", F.when(F.col("text").rlike(r"(?i)(^|\s)(the|and|is)\s"), "english").otherwise("other").alias("mode"))
+    return table(s, d, "conversations").select("conv_id", "turn", fn.query_mode(F.coalesce("text", F.lit("")), "en").alias("mode"))
 
 
 @query

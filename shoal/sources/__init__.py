@@ -21,6 +21,13 @@ API_VIDEO = (
     "likeCount bigint, commentCount bigint, viewCount bigint, published string, language string, "
     "attributedTo struct<preferredUsername:string,url:string,id:string,name:string,followerCount:bigint>"
 )
+API_PROFILE = "preferredUsername:string,name:string,followerCount:bigint,followingCount:bigint,summary:string,isVerified:boolean,mediaCount:bigint"
+
+
+def pages(spark: SparkSession, path: str, item: str) -> DataFrame:
+    """Items of landed API pages (JSON files), one row each; pages without items give none. ``item`` lists fields as name:type."""
+    raw = spark.read.schema(f"data struct<orderedItems:array<struct<{item}>>,nextCursor:string>").json(path, multiLine=True)
+    return raw.select(F.explode("data.orderedItems").alias("i")).select("i.*")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +74,25 @@ def normalise_videos(raw: DataFrame) -> DataFrame:
     ).where(F.coalesce("video_id", F.lit("")) != "")
 
 
+def normalise_profiles(raw: DataFrame) -> DataFrame:
+    """API profiles as rows of the accounts table; rows without a name are dropped."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return raw.select(
+        F.col("preferredUsername").alias("username"), text(F.col("name")).alias("display_name"), number(F.col("followerCount")).alias("followers"), number(F.col("followingCount")).alias("following_count"),
+        text(F.col("summary")).alias("bio"), F.coalesce("isVerified", F.lit(False)).alias("verified"), number(F.col("mediaCount")).alias("video_count"),
+    ).where(F.coalesce("username", F.lit("")) != "")
+
+
+def with_version(versions: DataFrame, stats: DataFrame, changes: list[str], date: str) -> DataFrame:
+    """``versions`` (v, date, the columns of ``stats``, changes) and a record of this run; as they were if nothing changed."""
+    if not changes:
+        return versions
+    last = versions.agg(F.coalesce(F.max("v"), F.lit(0)).alias("last"))
+    record = stats.crossJoin(F.broadcast(last)).select((F.col("last") + 1).cast(versions.schema["v"].dataType).alias("v"), F.lit(date).alias("date"), *stats.columns, F.array(*map(F.lit, changes)).alias("changes"))  # a row each
+    return versions.unionByName(record)
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last write wins: one row a key, the greatest by ``order``; rows with a null key are left out."""
     w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shoal import functions as fn
 from shoal.operators import axes, community, discovery, exports, graph, views
 from shoal.operators.profiles import group_lift, tag_class
-from shoal.sources import API_VIDEO, first_wins, json_document, latest, line_file, merge_accounts, normalise_videos
+from shoal.sources import API_PROFILE, API_VIDEO, first_wins, json_document, latest, line_file, merge_accounts, normalise_profiles, normalise_videos, pages, with_version
 
 
 def rows(spark, data, schema):
@@ -258,3 +258,23 @@ def test_contract(spark):
     overlaps = rows(spark, [("o1", ["b1", "b1a"]), ("o2", ["b1", "b1"]), ("o3", ["b1"]), ("o4", ["b1", "none"]), ("o5", None)], "id string, between array<string>")
     got = {(r.rule, r.id) for r in views.contract_violations(blocks, overlaps, 7).collect()}
     assert got == {("recommended level", "7"), ("parent exists", "b2"), ("parent of same kind", "b1b"), ("parent one level above", "b1b")} | {("overlap of two blocks", f"o{i}") for i in (2, 3, 4, 5)}
+
+
+def test_query_mode(spark):
+    mode = lambda t, lang="nl": value(spark, fn.query_mode(F.lit(t), lang))
+    assert [mode("Bestaat dit"), mode("waar?"), mode("waar? of"), mode("zou er een bubbel zijn"), mode("but also this"), mode("but also this", "en")] == ["hypothesis", "hypothesis", "match", "hypothesis", "match", "hypothesis"]
+    assert [value(spark, fn.original_sound(F.lit(t))) for t in ("Original Sound - x", "a hit", "Geluid van y")] == [True, False, True]
+
+
+def test_pages_and_profiles(spark, tmp_path):
+    (tmp_path / "p1.json").write_text('{"data": {"orderedItems": [{"preferredUsername": "a", "followerCount": 5}, {"name": "nobody"}], "nextCursor": "x"}}')
+    (tmp_path / "p2.json").write_text('{"data": {"orderedItems": []}}')
+    got = normalise_profiles(pages(spark, str(tmp_path), API_PROFILE)).collect()
+    assert [tuple(r) for r in got] == [("a", "", 5, 0, "", False, 0)]
+
+
+def test_versions(spark):
+    v = rows(spark, [], "v long, date string, accounts long, changes array<string>")
+    one = with_version(v, rows(spark, [(7,)], "accounts long"), ["first"], "2026-01-01")
+    two = with_version(one, rows(spark, [(9,)], "accounts long"), ["A +10"], "2026-01-02")
+    assert [(r.v, r.accounts) for r in two.orderBy("v").collect()] == [(1, 7), (2, 9)] and with_version(two, rows(spark, [(1,)], "accounts long"), [], "x").count() == 2
