@@ -166,19 +166,27 @@ METHODS = {"louvain": louvain, "leiden": leiden}
 
 
 def partition(edges: DataFrame, by: str | None = None, method: str = "louvain") -> DataFrame:
-    """(account, cluster) of the whole graph, or of each group ``by`` on its own (column kept)."""
-    find = METHODS[method]
-    key = by or "whole_"
-    rows = edges if by else edges.withColumn(key, F.lit(0))
+    """(account, cluster) of the whole graph, or of each group ``by`` on its own (column kept).
+
+    A group of more than MAX_EDGES edges goes to label propagation, so no task takes
+    an unbounded one. An account is in one group.
+    """
+    find, key = METHODS[method], by or "whole_"
+    rows = cut((edges if by else edges.withColumn(key, F.lit(0))).select(key, "src", "dst", "weight"))
+    large = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_EDGES).select(key)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = find(list(zip(pdf["src"].tolist(), pdf["dst"].tolist(), pdf["weight"].tolist())))
         return pd.DataFrame({key: pdf[key].iloc[0], "account": list(found), "cluster": list(found.values())}).astype({"account": "int64", "cluster": "int64"})
 
-    if not by and rows.count() > MAX_EDGES:
-        return propagate(edges)
-    kind = rows.schema[key].dataType.simpleString()
-    out = rows.select(key, "src", "dst", "weight").groupBy(key).applyInPandas(run, f"{key} {kind}, account long, cluster long")
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, account long, cluster long"
+    if large.isEmpty():
+        out = rows.groupBy(key).applyInPandas(run, schema)
+    else:
+        big = rows.join(large, key, "left_semi")
+        group = big.select(key, F.explode(F.array("src", "dst")).alias("account")).distinct()
+        far = group.join(propagate(big.select("src", "dst", "weight")), "account").select(key, "account", "cluster")
+        out = rows.join(large, key, "left_anti").groupBy(key).applyInPandas(run, schema).unionByName(far)
     return out if by else out.drop(key)
 
 

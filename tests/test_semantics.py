@@ -278,3 +278,10 @@ def test_versions(spark):
     one = with_version(v, rows(spark, [(7,)], "accounts long"), ["first"], "2026-01-01")
     two = with_version(one, rows(spark, [(9,)], "accounts long"), ["A +10"], "2026-01-02")
     assert [(r.v, r.accounts) for r in two.orderBy("v").collect()] == [(1, 7), (2, 9)] and with_version(two, rows(spark, [(1,)], "accounts long"), [], "x").count() == 2
+
+
+def test_large_groups_go_to_propagation(spark, monkeypatch):
+    e = rows(spark, [(a, b, int(w), "big") for a, b, w in _cliques()] + [(20, 21, 1, "small")], "src long, dst long, weight long, g string")
+    monkeypatch.setattr(community, "MAX_EDGES", 5)
+    got = {(r.g, r.account): r.cluster for r in community.partition(e, "g").collect()}
+    assert len(got) == 14 and got["small", 20] == got["small", 21] and len({got["big", i] for i in range(6)}) == 1 and got["big", 0] != got["big", 11]
