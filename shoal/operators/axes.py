@@ -140,28 +140,67 @@ def pca(rows: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     return parts * sign[:, None], model.explainedVariance.toArray()
 
 
-def local_pca(rows: DataFrame, group: str, vector: str, label: str, most: int = 6, least: int = 8) -> DataFrame:
-    """Principal components within each group, and eta squared of the labels on each.
+_MOMENTS = "cluster long, label string, n long, s array<double>, q array<double>"
 
-    A group is one parent cluster; it needs ``least`` members and two labels.
+
+def _moments(rows: DataFrame, salts: int = 32, held: int = 64) -> DataFrame:
+    """(cluster, label, n, s, q): count, sums and sums of products of vectors, a row a cluster and label.
+
+    Summed within tasks first, then in salted groups, so no task takes all rows or all
+    partial sums of a cluster. ``held`` bounds the sums that a task keeps.
+    """
+
+    def frame(sums: dict) -> pd.DataFrame:
+        return pd.DataFrame([(c, g, n, x.tolist(), q.ravel().tolist()) for (c, g), (n, x, q) in sums.items()], columns=["cluster", "label", "n", "s", "q"])
+
+    def partial(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for (c, g), part in pdf.groupby(["cluster", "label"], dropna=False):
+                x = np.array(part["v"].tolist(), dtype=float)
+                n, t, q = sums.get(key := (c, None if pd.isna(g) else g), (0, 0.0, 0.0))
+                sums[key] = (n + len(x), t + x.sum(axis=0), q + x.T @ x)
+                if len(sums) > held:
+                    yield frame(sums)
+                    sums = {}
+        if sums:
+            yield frame(sums)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        label = pdf["label"].iloc[0]
+        return frame({(pdf["cluster"].iloc[0], label): (int(pdf["n"].sum()), np.sum(pdf["s"].tolist(), axis=0), np.sum(pdf["q"].tolist(), axis=0))})
+
+    parts = rows.mapInPandas(partial, _MOMENTS).withColumn("salt", F.spark_partition_id() % salts)
+    salted = parts.groupBy("cluster", "label", "salt").applyInPandas(merge, _MOMENTS)
+    return salted.groupBy("cluster", "label").applyInPandas(merge, _MOMENTS)
+
+
+def local_pca(rows: DataFrame, group: str, vector: str, label: str, most: int = 6, least: int = 8, labelled: int = 6, features: int = 3) -> DataFrame:
+    """(cluster, pc, explained, eta2): principal components within each group, and eta squared of the labels on each.
+
+    All of it follows from the moments of each label, so members stay where they are. A
+    group needs ``least`` members, ``features`` dimensions, two labels and ``labelled``
+    members with one; rows without label count for the components alone.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("cluster", "int64"), ("pc", "int64"), ("explained", "float64"), ("eta2", "float64"))})
-        if len(pdf) < least or pdf["label"].nunique() < 2:
-            return empty
-        x = np.array(pdf["v"].tolist(), dtype=float)
-        x -= x.mean(axis=0)
-        u, s, _ = np.linalg.svd(x, full_matrices=False)
-        k = min(most, x.shape[1], len(x) - 1)
-        pcs, var = u[:, :k] * s[:k], s**2 / max((s**2).sum(), 1e-12)
-        labels = pdf["label"].to_numpy()
-        out = []
-        for i in range(k):
-            total = (pcs[:, i] ** 2).sum()
-            between = sum((labels == g).sum() * pcs[labels == g, i].mean() ** 2 for g in np.unique(labels))
-            out.append((int(pdf["cluster"].iloc[0]), i + 1, var[i], round(between / total, 3) if total else 0.0))
-        return pd.DataFrame(out, columns=["cluster", "pc", "explained", "eta2"])
-
-    flat = rows.select(F.col(group).cast("long").alias("cluster"), F.col(vector).alias("v"), F.col(label).alias("label"))
-    return flat.groupBy("cluster").applyInPandas(run, "cluster long, pc long, explained double, eta2 double")
+        known, n, d = pdf[pdf["label"].notna()], int(pdf["n"].sum()), len(pdf["s"].iloc[0])
+        if n < least or d < features or len(known) < 2 or known["n"].sum() < labelled:
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("cluster", "int64"), ("pc", "int64"), ("explained", "float64"), ("eta2", "float64"))})
+
+        def scatter(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            mean = np.sum(part["s"].tolist(), axis=0) / part["n"].sum()
+            return mean, np.sum(part["q"].tolist(), axis=0).reshape(d, d) - part["n"].sum() * np.outer(mean, mean)
+
+        values, axes_ = np.linalg.eigh(scatter(pdf)[1])
+        k = min(most, d, n - 1)
+        values, parts, (mean, within) = values[::-1], axes_[:, ::-1].T[:k], scatter(known)
+        total = np.einsum("ij,jk,ik->i", parts, within, parts)
+        sizes, means = known["n"].to_numpy(), np.array(known["s"].tolist()) / known["n"].to_numpy()[:, None]
+        between = (sizes[:, None] * ((means - mean) @ parts.T) ** 2).sum(axis=0)
+        share = np.maximum(values, 0) / max(np.maximum(values, 0).sum(), 1e-12)
+        eta = np.where(total > 1e-12, between / np.maximum(total, 1e-12), 0.0).round(3)
+        return pd.DataFrame({"cluster": int(pdf["cluster"].iloc[0]), "pc": np.arange(1, k + 1), "explained": share[:k], "eta2": eta})
+
+    flat = rows.select(F.col(group).cast("long").alias("cluster"), F.col(vector).alias("v"), F.col(label).cast("string").alias("label")).where("cluster is not null and v is not null")
+    return _moments(flat).groupBy("cluster").applyInPandas(run, "cluster long, pc long, explained double, eta2 double")

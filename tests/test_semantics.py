@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -285,3 +286,18 @@ def test_large_groups_go_to_propagation(spark, monkeypatch):
     monkeypatch.setattr(community, "MAX_EDGES", 5)
     got = {(r.g, r.account): r.cluster for r in community.partition(e, "g").collect()}
     assert len(got) == 14 and got["small", 20] == got["small", 21] and len({got["big", i] for i in range(6)}) == 1 and got["big", 0] != got["big", 11]
+
+
+def test_local_components_by_brute_force(spark):
+    r = np.random.default_rng(3)
+    x, label = r.normal(size=(30, 4)) * [4, 2, 1, 0.5], ["a"] * 10 + ["b"] * 12 + [None] * 8
+    x[:10, 0] += 3
+    data = [(1, g, v.tolist()) for g, v in zip(label, x)] + [(2, "a", [1.0, 2.0, 3.0, 4.0])] * 9 + [(3, g, [0.0] * 4) for g in "abcdefgh"] + [(None, "a", [0.0] * 4), (1, "a", None)]
+    got = {(c.cluster, c.pc): (c.explained, c.eta2) for c in axes.local_pca(rows(spark, data, "c long, g string, v array<double>").repartition(5), "c", "v", "g").collect()}
+    centred = x - x.mean(axis=0)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    for i in range(4):
+        at = (x[:22] - x[:22].mean(axis=0)) @ vt[i]
+        total, between = (at**2).sum(), 10 * at[:10].mean() ** 2 + 12 * at[10:].mean() ** 2
+        assert got[1, i + 1] == (pytest.approx(s[i] ** 2 / (s**2).sum()), pytest.approx(between / total, abs=6e-4))
+    assert not any(c == 2 for c, _ in got) and {e for (c, _), e in got.items() if c == 3} == {(0.0, 0.0)}
