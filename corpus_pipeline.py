@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from shoal.llm._base import materialise
 from shoal.llm.decontam import benchmark_leaks
 from shoal.llm.linedup import edit_lines
+from shoal.llm.neardup import near_components
 from shoal.llm.packing import pack_documents
 from shoal.llm.registry import tokenizer_path
-from shoal.llm.simhash import simhash_components
 from shoal.llm.toxicity import drop_toxic, train_toxicity
 
 
@@ -39,9 +39,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of smallest doc_id stays.
 
-    Rows without doc_id stay, as does each row that bears a doc_id that stays.
+    Near duplicates share 0.8 or more of their 5-word shingles (Jaccard). Rows without doc_id stay, as does each row that bears a doc_id that stays.
     """
-    gone = simhash_components(docs).groupBy("doc_id").agg(F.min("component_id").alias("keep")).where("doc_id != keep").select(F.col("doc_id").alias("shoal_gone"))
+    gone = near_components(docs).groupBy("doc_id").agg(F.min("component_id").alias("keep")).where("doc_id != keep").select(F.col("doc_id").alias("shoal_gone"))
     return docs.join(gone, docs["doc_id"] == gone["shoal_gone"], "left_anti")
 
 

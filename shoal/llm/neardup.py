@@ -1,0 +1,255 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles.
+
+A fingerprint of 64 bits can't settle a similarity of 0.8: its copies differ in
+about ten bits, some in more than any index of so few bits can bridge. So texts
+meet through their shingles. Two sets of similarity t or more share one of the
+first n - ceil(t n) + 1 shingles of each in any common order (prefix filter);
+shingles that a sample shows to be frequent come last in the order, so that few
+texts meet by chance. Each meeting is verified on the whole sets.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from shoal.llm._base import materialise, partitions
+from shoal.llm._words import chunks, split_words, text_column
+from shoal.llm.components import components
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: One text in so many is looked at for frequent shingles; those seen in SEEN of them or more, MOST at most, go last. The order changes the work, never the result.
+SAMPLE, SEEN, MOST = 16, 3, 1_000_000
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted hashes of each text's distinct shingles; a shorter text is one shingle, one without words none.
+
+    Case (A-Z) and the amount of ASCII white space don't count.
+    """
+    for _, part in chunks(text_column(texts)):
+        yield from _sets_of(part, width)
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have a few million bytes."""
+    for at, part in chunks(text_column(batch.column(column))):
+        yield batch.slice(at, len(part))
+
+
+def _sets_of(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    words, ids, offsets = split_words(pc.ascii_lower(texts))
+    hashed = np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words], dtype=np.uint64)
+    h = hashed[ids] if len(ids) else np.empty(0, dtype=np.uint64)
+    factor = _mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
+    n = max(0, len(h) - width + 1)
+    rows = np.full(n, width, dtype=np.uint64)
+    for k in range(width):
+        rows += h[k : k + n] * factor[k]
+    rows = _mix(rows)
+    for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        if 0 < e - s < width:
+            yield _mix((h[s:e] * factor[: e - s]).sum(dtype=np.uint64, keepdims=True) + np.uint64(e - s))
+        else:
+            yield np.unique(rows[s : max(s, e - width + 1)])
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles one of which any set of that similarity shares among its own."""
+    n = len(shingles)
+    if len(frequent) and n:
+        known = frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] == shingles
+        shingles = np.concatenate([shingles[~known], shingles[known]])
+    return shingles[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def _frequent(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles that several distinct texts of a sample hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in shingle_sets(b.column(0), width):
+                yield pa.record_batch([pa.array(s.view(np.int64))], names=["h"])
+
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    seen = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEN)
+    found = seen.orderBy(F.desc("n"), "h").limit(MOST).select("h").toArrow().column("h").to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
+def _sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, th (hash of the text), sig (hash of the set), n (its size), keys (its prefix)."""
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (p for whole in batches for p in _parts(whole, 2)):
+            sets = list(shingle_sets(b.column(2), width))
+            keys = [prefix(s, frequent.value, similarity) for s in sets]
+            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+            flat = np.concatenate([*keys, np.empty(0, dtype=np.uint64)]).view(np.int64)
+            sig = np.array([xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch(
+                [b.column(0).cast(pa.int64()), b.column(1), pa.array(sig), pa.array([len(s) for s in sets], type=pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["doc_id", "th", "sig", "n", "keys"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, sig long, n int, keys array<long>")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a partition sorted by the first column, in pieces of whole runs, and where runs begin."""
+    kept: list[np.ndarray] = []
+
+    def piece(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        table = np.concatenate(parts, axis=1)
+        return table, np.flatnonzero(np.concatenate(([True], table[0, 1:] != table[0, :-1], [True])))
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(b.num_columns)])
+        cut = int(np.searchsorted(part[0], part[0, -1], side="left"))
+        if cut == 0 and (not kept or kept[0][0, 0] == part[0, -1]):
+            kept.append(part)  # all one run, which may go on
+            continue
+        yield piece([*kept, part[:, :cut]])
+        kept = [part[:, cut:]]
+    if kept:
+        yield piece(kept)
+
+
+def _may(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes that share the shingles at these places can reach the similarity."""
+    most = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
+    return most + 1e-6 >= similarity * (n[i] + n[j] - most)
+
+
+def _neighbours(similarity: float):
+    """Of each key's run, sorted by size: each set with the one before and with the first; and runs of more than two, whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, n_at, sig), edge in _runs(batches):
+            n, at = n_at >> 32, n_at & 0xFFFFFFFF
+            size = np.diff(edge)
+            row, start = np.arange(len(key)), np.repeat(edge[:-1], size)
+            later = np.flatnonzero(row > start)
+            i = np.concatenate([later - 1, start[later]])
+            j = np.concatenate([later, later])
+            ok = _may(n, at, i, j, similarity) & (sig[i] != sig[j])
+            a, b = sig[i[ok]], sig[j[ok]]
+            ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            none = pa.nulls(ab.shape[1], pa.int64())
+            yield pa.record_batch([pa.array(ab[0]), pa.array(ab[1]), none, none, none], names=["a", "b", "key", "n_at", "sig"])
+            more = np.repeat(size > 2, size)
+            none = pa.nulls(int(more.sum()), pa.int64())
+            yield pa.record_batch([none, none, *(pa.array(x[more]) for x in (key, n_at, sig))], names=["a", "b", "key", "n_at", "sig"])
+
+    return run
+
+
+def _others(similarity: float):
+    """Of each key's run: all pairs that aren't yet connected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, n_at, sig, comp), edge in _runs(batches):
+            n, at = n_at >> 32, n_at & 0xFFFFFFFF
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if (comp[s:e] == comp[s]).all():
+                    continue
+                found = []
+                for i in range(s, e - 1):
+                    j = np.arange(i + 1, i + 1 + int(np.searchsorted(n[i + 1 : e], n[i] / similarity + 1e-6, side="right")))
+                    j = j[comp[j] != comp[i]]
+                    j = j[_may(n, at, np.full(len(j), i), j, similarity)]
+                    found.append(np.stack([np.full(len(j), sig[i]), sig[j]]))
+                ab = np.sort(np.concatenate(found, axis=1), axis=0)
+                if ab.shape[1]:
+                    yield pa.record_batch([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
+
+    return run
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles have each last byte (255: or more)."""
+    return np.minimum(np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8)
+
+
+def _loaded(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(sig, n, sketch, set) of the wanted (sig, th)."""
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in _parts(b, 1)):
+            sets = list(shingle_sets(part.column(1), width))
+            n = pa.array([len(s) for s in sets], type=pa.int64())
+            yield pa.record_batch([part.column(0), n, *(pa.array([x.tobytes() for x in xs], type=pa.binary()) for xs in (map(sketch, sets), sets))], names=["sig", "n", "sketch", "set"])
+
+    texts = docs.select("text", F.xxhash64("text").alias("th")).join(wanted, "th").dropDuplicates(["sig"]).select("sig", "text")
+    return materialise(texts.mapInArrow(load, "sig long, n long, sketch binary, set binary"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets have the similarity; sketches that rule it out spare reading the sets."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n = b.column(2).to_numpy() + b.column(3).to_numpy()
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, 256) for i in (4, 5))
+                most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                ok = (most + 1e-6 >= similarity * (n - most)) | ((x == 255) & (y == 255)).any(axis=1)
+                yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
+
+    def side(end: str, *cols: str) -> DataFrame:
+        return sets.select(F.col("sig").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in cols))
+
+    sketched = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
+    left = materialise(sketched.mapInArrow(sift, "a long, b long"))
+    return materialise(left.join(side("a", "set"), "a").join(side("b", "set"), "b").select("a", "b", "a_set", "b_set").mapInArrow(compare, "a long, b long"))
+
+
+def near_components(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): the least doc_id that chains of near duplicates reach, a row per row.
+
+    Near duplicates are texts whose sets of ``width``-word shingles have a Jaccard
+    similarity of ``similarity`` or more; no such pair is lost. Texts without words
+    are alike. Rows without doc_id get a component (null if nothing in it has an id).
+    """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = 2 * partitions(docs.sparkSession)
+    rows = materialise(_sets(docs, width, similarity))
+    one = materialise(rows.groupBy("sig", "n").agg(F.min("doc_id").alias("id"), F.min("th").alias("th"), F.first("keys").alias("keys")))
+    keys = one.select("sig", F.shiftleft(F.col("n").cast("long"), 32).alias("n"), F.posexplode("keys").alias("at", "key")).select("key", F.col("n").bitwiseOR(F.col("at").cast("long")).alias("n_at"), "sig")
+    met = materialise(keys.repartition(n, "key").sortWithinPartitions("key", "n_at").mapInArrow(_neighbours(similarity), "a long, b long, key long, n_at long, sig long"))
+    pairs, runs = materialise(met.where("a is not null").select("a", "b").distinct()), met.where("a is null").select("key", "n_at", "sig")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(runs.select("sig")).distinct()
+    sets = _loaded(docs, one.select("sig", "th").join(wanted, "sig"), width)
+    links = _verified(pairs, sets, similarity)
+    known = components(links).select(F.col("node").alias("sig"), "component")
+    runs = runs.join(known, "sig", "left").select("key", "n_at", "sig", F.coalesce("component", "sig").alias("comp"))
+    rest = runs.repartition(n, "key").sortWithinPartitions("key", "n_at").mapInArrow(_others(similarity), "a long, b long").distinct()
+    links = links.unionByName(_verified(materialise(rest), sets, similarity))
+    named = one.select("sig", "id").join(components(links).withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    return rows.select("doc_id", "sig").join(named.join(least, "component").select("sig", "component_id"), "sig").select("doc_id", "component_id")

@@ -1,0 +1,72 @@
+"""Near duplicates by exact Jaccard similarity, against brute force."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from shoal.llm import neardup
+
+
+def shingles(text, width=5):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").split()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def brute(rows, similarity=0.8):
+    """Least doc_id reachable over pairs of that similarity, by row."""
+    sets = [shingles(t) for _, t in rows]
+    comp = list(range(len(rows)))
+    near = [[j for j, y in enumerate(sets) if x == y or len(x & y) >= similarity * len(x | y)] for x in sets]
+    while (new := [min(comp[j] for j in near[i]) for i in range(len(rows))]) != comp:
+        comp = new
+    least = {}
+    for (doc_id, _), c in zip(rows, comp):
+        if doc_id is not None:
+            least[c] = min(doc_id, least.get(c, doc_id))
+    return sorted(((i, least.get(c)) for (i, _), c in zip(rows, comp)), key=repr)
+
+
+def edited(rng, words, n):
+    words = words[:]
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"new{rng.randrange(10**6)}"
+    return words
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Copies edited more and more, chains of edits, common passages, short, empty and null texts."""
+    rng = random.Random(4)
+    prose = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    common, texts = prose(60), []
+    for _ in range(12):
+        base = prose(rng.randrange(60, 300))
+        texts += [base, *(edited(rng, base, rng.randrange(1, 1 + len(base) // 30)) for _ in range(6)), edited(rng, base, len(base) // 8)]
+    chain = prose(120)
+    for _ in range(20):
+        texts.append(chain := edited(rng, chain, 2))
+    texts += [prose(rng.randrange(1, 60)) + common for _ in range(60)] + [prose(k) for k in range(9)] + [["one"], ["one"], ["two", "words"], ["TWO", "words"]]
+    out = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(out)
+    return [(7, "another text"), (500, None), (501, ""), (502, " \t "), (None, "one"), (None, None), (None, "only without id"), *out]
+
+
+@pytest.mark.parametrize("seen", [1, 3, 10**9])
+def test_no_pair_is_lost(spark, rows, seen, monkeypatch):
+    monkeypatch.setattr(neardup, "SAMPLE", 2)
+    monkeypatch.setattr(neardup, "SEEN", seen)
+    got = neardup.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(((r.doc_id, r.component_id) for r in got.collect()), key=repr) == brute(rows)
+
+
+def test_stage_drops_lightly_edited_copies(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(20):
+        base = [f"v{rng.randrange(5000)}" for _ in range(200)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited(rng, base, 4)))]
+    out = dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in out.collect()} == {i for i, c in brute(rows) if i == c} == set(range(0, 40, 2))
