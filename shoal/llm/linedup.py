@@ -1,15 +1,14 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup by the runs of lines that documents share.
 
-Documents that share a line meet through its hash: each later holder is paired with
-the first one, so a line gives one pair a holder, however frequent it is. Each pair
-is aligned by patience diff, and blocks that are aligned are deleted from the later
-document.
+A run of 30 words or more that stands line for line in an earlier document is
+covered by windows: line ranges with so many words and none to spare at one end.
+Equal windows meet by hash, each with its first holder only, which is enough: the
+others hold the same lines. So no pair is lost, however frequent a line is.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,42 +22,56 @@ from shoal.llm._words import text_column
 MIN_WORDS = 30
 
 
-def numbered_lines(docs: DataFrame) -> DataFrame:
-    """Lines that aren't blank: doc_id, th (text hash), pos, seq (count of such lines before), h, words.
+def windows(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """Line ranges (first, last) that have ``min_words`` and none to spare at one end.
 
-    White space within and around a line doesn't count. The k-th occurrence of a
-    line in a document has a hash of its own, so each hash is unique in a document,
-    which is what patience diff asks of its anchors.
+    A run of lines has so many words just if such ranges lie in it, and then they cover it.
+    """
+    out, first, have = set(), 0, 0
+    for last, n in enumerate(words):
+        have += n
+        while have - words[first] >= min_words:
+            have -= words[first]
+            first += 1
+        if have >= min_words:
+            out.add((first, last))  # the shortest that ends here
+    last, have = len(words) - 1, 0
+    for first in range(len(words) - 1, -1, -1):
+        have += words[first]
+        while have - words[last] >= min_words:
+            have -= words[last]
+            last -= 1
+        if have >= min_words:
+            out.add((first, last))  # the shortest that begins here
+    return sorted(out)
+
+
+def line_windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, th (text hash), first and last line, h (hash of the lines' sequence) of each window.
+
+    White space within and around a line doesn't count, nor do blank lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        from xxhash import xxh64_digest, xxh64_intdigest
 
-        names = ["doc_id", "th", "pos", "seq", "h", "words"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        names = ["doc_id", "th", "first", "last", "h"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
         for b in batches:
             ids, hashes = b.column(0).cast(pa.int64()).to_pylist(), b.column(2).to_pylist()
             cols: list[list] = [[] for _ in names]
             for doc_id, th, text in zip(ids, hashes, text_column(b.column(1))):
-                seen: Counter = Counter()
-                seq = 0
-                for pos, line in enumerate(text.as_py().encode("utf-8", "surrogatepass").split(b"\n")):
-                    parts = line.split()
-                    if not parts:
-                        continue
-                    h = xxh64_intdigest(b" ".join(parts))
-                    nth = seen[h]
-                    seen[h] = nth + 1
-                    if nth:
-                        h = xxh64_intdigest(nth.to_bytes(8, "little"), h)
-                    for col, value in zip(cols, (doc_id, th, pos, seq, h - (1 << 64) if h >> 63 else h, len(parts))):
+                lines = [(pos, parts) for pos, line in enumerate(text.as_py().encode("utf-8", "surrogatepass").split(b"\n")) if (parts := line.split())]
+                joined = b"".join(xxh64_digest(b" ".join(parts)) for _, parts in lines)
+                for first, last in windows([len(parts) for _, parts in lines], min_words):
+                    h = xxh64_intdigest(joined[8 * first : 8 * last + 8])
+                    for col, value in zip(cols, (doc_id, th, lines[first][0], lines[last][0], h - (1 << 64) if h >> 63 else h)):
                         col.append(value)
-                    seq += 1
             if cols[0]:
                 yield pa.record_batch([pa.array(c, type=t) for c, t in zip(cols, types)], names=names)
 
     keyed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    return keyed.mapInArrow(run, "doc_id long, th long, pos int, seq int, h long, words int")
+    return keyed.mapInArrow(run, "doc_id long, th long, first int, last int, h long")
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -81,47 +94,35 @@ def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def aligned_blocks(matches: list[dict], min_words: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """Line ranges (first, last) to delete from a document, and the documents they stand in.
+def merged(matches: list[dict]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Line ranges (first, last) to delete from a document, and the documents their windows stand in.
 
-    ``matches``: seq, pos, words of the line; p_doc, p_th, p_seq of where it stands first.
+    ``matches``: first and last line of a window; p_doc, the first document that holds it.
     """
-    by_partner = defaultdict(list)
-    lines = {}
-    for m in matches:
-        by_partner[m["p_doc"], m["p_th"]].append((m["seq"], m["p_seq"]))
-        lines[m["seq"]] = (m["pos"], m["words"])
-    holder = {}
-    for (partner, _), pairs in by_partner.items():
-        for left, _ in patience(pairs):
-            holder[left] = partner
-    blocks, partners, run = [], set(), []
-    for seq in [*sorted(holder), None]:
-        if run and (seq is None or seq != run[-1] + 1):
-            if sum(lines[s][1] for s in run) >= min_words:
-                blocks.append((lines[run[0]][0], lines[run[-1]][0]))
-                partners.update(holder[s] for s in run)
-            run = []
-        run.append(seq)
-    return blocks, sorted(partners)
+    blocks: list[tuple[int, int]] = []
+    for first, last in sorted((m["first"], m["last"]) for m in matches):
+        if blocks and first <= blocks[-1][1]:
+            blocks[-1] = (blocks[-1][0], max(last, blocks[-1][1]))
+        else:
+            blocks.append((first, last))
+    return blocks, sorted({m["p_doc"] for m in matches})
 
 
 def line_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, blocks, partners) of each document that repeats an earlier one's lines."""
-    lines = materialise(numbered_lines(docs))
+    found = materialise(line_windows(docs, min_words))
     first = (
-        lines.groupBy("h").agg(F.min(F.struct("doc_id", "th", "seq")).alias("f"), F.max(F.struct("doc_id", "th")).alias("l"))
-        .where(F.struct("f.doc_id", "f.th") < F.col("l")).select("h", F.col("f.doc_id").alias("p_doc"), F.col("f.th").alias("p_th"), F.col("f.seq").alias("p_seq"))
+        found.groupBy("h").agg(F.min(F.struct("doc_id", "th")).alias("f"), F.max(F.struct("doc_id", "th")).alias("l"))
+        .where("f < l").select("h", F.col("f.doc_id").alias("p_doc"), F.col("f.th").alias("p_th"))
     )
-    met = lines.join(first, "h").where(F.struct("doc_id", "th") > F.struct("p_doc", "p_th"))
-    # A group is one document's lines; repeated rows of a document count once.
-    by_doc = met.groupBy("doc_id", "th").agg(F.collect_set(F.struct("seq", "pos", "words", "p_doc", "p_th", "p_seq")).alias("matches"))
+    met = found.join(first, "h").where(F.struct("doc_id", "th") > F.struct("p_doc", "p_th"))
+    # A group is one document's windows; repeated rows of a document count once.
+    by_doc = met.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last", "p_doc")).alias("matches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for b in batches:
-            out = [(r["doc_id"], r["th"], *aligned_blocks(r["matches"], min_words)) for r in b.to_pylist()]
-            out = [r for r in out if r[2]]
+            out = [(r["doc_id"], r["th"], *merged(r["matches"])) for r in b.to_pylist()]
             if out:
                 blocks = pa.array([[{"first": s, "last": e} for s, e in r[2]] for r in out], type=blocks_type)
                 yield pa.record_batch([pa.array([r[0] for r in out]), pa.array([r[1] for r in out]), blocks, pa.array([r[3] for r in out], type=pa.list_(pa.int64()))], names=["doc_id", "th", "blocks", "partners"])
