@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm._base import materialise
-from shoal.llm.decontam import benchmark_leaks
+from shoal.llm.decontam import drop_leaks
 from shoal.llm.linedup import edit_lines
 from shoal.llm.neardup import near_components
 from shoal.llm.packing import pack_documents
@@ -46,9 +46,8 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = materialise(benchmark_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("shoal_leak")).distinct())
-    return docs.join(leaks, docs["doc_id"] == leaks["shoal_leak"], "left_anti")
+    """Rows whose text holds a benchmark item go, with or without doc_id; other rows of the same doc_id stay."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

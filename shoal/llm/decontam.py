@@ -179,6 +179,16 @@ def _share(wanted: set[tuple[str, ...]], there: set[tuple[str, ...]], words: lis
 _LEAK = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double, word_start long, word_end long"
 
 
+def _indexes(benchmark: DataFrame) -> Iterator:
+    """Broadcast indexes of the items, in shards of about INDEX_CHARS characters."""
+    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(1, -(-size // INDEX_CHARS))
+    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
+    for s in range(shards):
+        items = [(r["item_id"], r["text"]) for r in benchmark.where(shard == s).select("item_id", "text").where(F.length("text") > 0).collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast(ItemIndex(items))
+
+
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, scores, place) for each benchmark item that a document holds.
 
@@ -189,14 +199,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE,
     match nothing; repeated items count once; repeated rows and rows without doc_id
     each give their own matches. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-size // INDEX_CHARS))
-    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
     found = None
-    for s in range(shards):
-        items = [(r["item_id"], r["text"]) for r in benchmark.where(shard == s).select("item_id", "text").where(F.length("text") > 0).collect()]
-        index = spark.sparkContext.broadcast(ItemIndex(items))
+    for index in _indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             idx = index.value
@@ -210,3 +214,17 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE,
         part = docs.select("doc_id", "text").mapInArrow(run, _LEAK)
         found = part if found is None else found.unionByName(part)
     return found
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose own text holds no benchmark item."""
+    at, schema = docs.columns.index("text"), docs.schema
+    for index in _indexes(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            idx = index.value
+            for b in batches:
+                yield b.filter(pa.array([not idx.leaks(t.as_py(), least, overlap) for t in text_column(b.column(at))], type=pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
