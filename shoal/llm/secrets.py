@@ -10,6 +10,7 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,11 +24,13 @@ HEX = re.compile(r"[0-9a-f]{32,}", re.A)  # the runs of [0-9a-f]+ that are long
 KINDS = ("assign", "access", "hex", "novel")
 LEAST = {"assign": 8, "access": 16}
 
-#: Words near which a string is looked at, the string's form, and how far after the word it may begin.
-CONTEXT = re.compile(r"(?i:passw|pwd|secret|token|api_?key|access_?key|private_?key|credential|bearer|authorization|signature)", re.A)
+#: Words near which a string is looked at, and the form of such strings.
+CONTEXT = re.compile(r"(?i:passw|pwd|secret|token|api_?key|access_?key|private[_\x20]?key|credential|bearer|authorization|signature)", re.A)
 ASSIGN_WORD = re.compile(r"(?i:password|passwd|secret|token|api_?key)", re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}", re.A)
-REACH, AROUND, RATIO = 80, 2048, 0.85
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}", re.A)
+ASSIGNED = re.compile(r"""\w*["']?\s*[:=]\s*["']?""")
+#: Length of a string that may stand anywhere near, and of one that the word is set to; how far off it may be; text that primes the compressor; least bytes a byte.
+LONG, SHORT, REACH, AROUND, RATIO = 16, 8, 80, 2048, 0.85
 
 #: What code is full of; primes the compressor along with the text around.
 IDENTIFIERS = (
@@ -65,35 +68,56 @@ def marginal_ratio(candidate: str, before: str, after: str) -> float:
     zd = zstandard.ZstdCompressionDict(around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     params = zstandard.ZstdCompressionParameters.from_level(19, write_content_size=False, write_checksum=False, write_dict_id=False)
     z = zstandard.ZstdCompressor(dict_data=zd, compression_params=params)
-    data = candidate.encode()
-    return (len(z.compress(data)) - len(z.compress(b""))) / len(data)
+    empty = len(z.compress(b""))
+    # Names in capitals or camel case are made of the same identifiers.
+    return min(len(z.compress(x.encode())) - empty for x in {candidate, candidate.lower()}) / len(candidate)
 
 
 def _mixed(s: str) -> bool:
-    """Digits among letters, or capitals within: not the shape of a word of prose."""
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) or (s[1:] != s[1:].lower() and s != s.upper())
+    """Digits among letters, or capitals all over: not the shape of a word of prose or of a name in camel case."""
+    if any(c.isdigit() for c in s):
+        return any(c.isalpha() for c in s)
+    return s != s.upper() and 6 * sum(a.islower() and b.isupper() for a, b in zip(s, s[1:])) >= len(s)
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """Strings after a sensitive word, apart from the base spans, that are incompressible."""
-    out: list[tuple[int, int, int]] = []
-    starts, ends = [s for s, _, _ in taken], [e for _, _, e in taken]
-    seen = -1
-    for word in CONTEXT.finditer(text):
-        stop = text.find("\n", word.end(), word.end() + REACH)
-        for m in CANDIDATE.finditer(text, max(seen, word.end()), len(text)):
-            if m.start() > (stop if stop >= 0 else word.end() + REACH):
-                break
-            seen = max(seen, m.end())
-            k = bisect_right(starts, m.start()) - 1
-            near = max(ends[: k + 1], default=0) > m.start() or (k + 1 < len(starts) and starts[k + 1] < m.end())
-            s = m[0].strip(".=-")
-            if near or len(s) < 16 or not _mixed(s):
-                continue
-            start = m.start() + m[0].index(s)
-            before, after = text[max(0, start - AROUND) : start], text[start + len(s) : start + len(s) + AROUND]
-            if marginal_ratio(s, before, after) >= ratio:
-                out.append((start, 3, start + len(s)))
+    """Incompressible strings near a sensitive word, apart from the base spans.
+
+    A string of LONG characters or more may begin up to REACH after the word, over
+    line ends too, or end as near before it on its line; one of SHORT characters
+    only if the word is set to it. Lines that go on with such a string right after
+    one that was found (the body of a key) count as near. Each string is looked at
+    once and compressed once, so the work is linear in the text.
+    """
+    words = [(m.start(), m.end()) for m in CONTEXT.finditer(text)]
+    if not words:
+        return []
+    starts, reach = [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
+    begins, out, last, w = [s for s, _ in words], [], -1, 0
+    ends = [e for _, e in words]
+    for run in RUN.finditer(text):
+        # A run may hold the word it belongs to (token=...): what follows the last word within it is the string.
+        w = bisect_right(begins, run.end() - SHORT, w) if w < len(begins) else w
+        start = max(run.start(), ends[w - 1]) if w and ends[w - 1] <= run.end() else run.start()
+        body = text[start : run.end()]
+        s = body.strip(".=-")
+        start += body.index(s)
+        end = start + len(s)
+        if len(s) < SHORT or not _mixed(s):
+            continue
+        behind = start - ends[w - 1] if w and ends[w - 1] <= start else None
+        near = behind is not None and (behind <= REACH and len(s) >= LONG or behind <= 24 and any(map(str.isdigit, s)) and ASSIGNED.fullmatch(text, ends[w - 1], start) is not None)
+        if not near and len(s) >= LONG:
+            ahead = w < len(begins) and begins[w] - end <= REACH and "\n" not in text[end : begins[w]]
+            near = ahead or (last >= 0 and start - last <= 8 and text[last:start].strip(".=-").isspace())
+        if not near:
+            continue
+        k = bisect_right(starts, start)
+        if (k and reach[k - 1] > start) or (k < len(starts) and starts[k] < end):
+            continue
+        if marginal_ratio(s, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= ratio:
+            out.append((start, 3, end))
+            last = end
     return out
 
 
@@ -113,8 +137,9 @@ def scan_secrets(docs: DataFrame, ratio: float = RATIO) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel: a row per row, whole texts.
 
     Spans are code points of the whole match, end exclusive. Null counts as empty; a
-    text without spans has empty ``spans`` and the hash of an empty string. Rows
-    without doc_id and repeated rows are scanned like others, other columns are
+    text without spans has empty ``spans`` and the hash of an empty string; spans of
+    one start come in the order of their kinds. Time is linear in a text's length, and
+    a text's surroundings are all that is compressed with a string. Rows without doc_id and repeated rows are scanned like others, other columns are
     ignored, an empty table gives an empty result.
     """
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"]
