@@ -22,7 +22,7 @@ from shoal.llm.components import components
 SEED, SHINGLE, MAX_BITS = 42, 4, 4
 #: First bit and width of each segment.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
-#: Fingerprints of one key that are compared in one go; larger keys are cut into pairs of blocks.
+#: Fingerprints of one key that are compared in one go; larger runs are cut into blocks, which are paired.
 BLOCK = 4096
 
 
@@ -65,7 +65,7 @@ def _variants(fps: DataFrame) -> DataFrame:
         segment = F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << width) - 1))
         for bit in range(width):
             keys.append(F.lit((start + bit) << 32).bitwiseOR(segment.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << bit)))))
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
+    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
 def _first_key(x: np.ndarray) -> np.ndarray:
@@ -100,7 +100,7 @@ class _Forest:
         return True
 
 
-def _links(fa: np.ndarray, ra: np.ndarray, fb: np.ndarray, rb: np.ndarray, same: bool, bit: int, most: int) -> list[tuple[int, int]]:
+def _links(fa: np.ndarray, fb: np.ndarray, same: bool, bit: int, most: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between two blocks of one key (or within one).
 
     Only links whose first common key this is are looked at; the others are found
@@ -108,6 +108,7 @@ def _links(fa: np.ndarray, ra: np.ndarray, fb: np.ndarray, rb: np.ndarray, same:
     that a dense group gives no more links than it has members.
     """
     n, forest, out = len(fa), _Forest(len(fa) + (0 if same else len(fb))), []
+    left, right = fa.view(np.int64), fb.view(np.int64)
     step = max(1, 2_000_000 // max(1, len(fb)))
     for at in range(0, n, step):
         x = fa[at : at + step, None] ^ fb[None, :]
@@ -119,59 +120,106 @@ def _links(fa: np.ndarray, ra: np.ndarray, fb: np.ndarray, rb: np.ndarray, same:
             first = _first_key(x[i, j]) == bit
             for a, b in zip((i[first] + at).tolist(), j[first].tolist()):
                 if forest.join(a, b if same else n + b):
-                    out.append((int(ra[a]), int(rb[b])))
+                    out.append((int(left[a]), int(right[b])))
     return out
 
 
-_SCHEMA = "a long, b long, bit int, left_fp binary, left_rep binary, right_fp binary, right_rep binary"
+def run_edges(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
 
 
-def _meet(most: int, block: int):
-    """Links of each key's run in a sorted partition; large runs become pairs of blocks."""
+def key_runs(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[np.ndarray, int | None]]:
+    """The rows (key, ...) of a sorted partition as columns: (whole runs of at most ``block`` rows, None) or (a block of a larger run, its number).
+
+    At most a batch and a block are held, however long a run is.
+    """
+
+    def whole(table: np.ndarray) -> Iterator[tuple[np.ndarray, int | None]]:
+        edge = run_edges(table[0])
+        size = np.diff(edge)
+        for s, n in zip(edge[:-1][size > block].tolist(), size[size > block].tolist()):
+            yield from ((table[:, i : min(i + block, s + n)], k) for k, i in enumerate(range(s, s + n, block)))
+        small = np.repeat(size <= block, size)
+        if small.any():
+            yield table[:, small], None
+
+    rest, number, key = None, 0, 0  # rows not given yet; blocks given of the run they begin with, and its key
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(b.num_columns)])
+        table = part if rest is None else np.concatenate([rest, part], axis=1)
+        if number:
+            end, at = int(np.searchsorted(table[0], key, side="right")), 0
+            while end - at >= block:
+                yield table[:, at : at + block], number
+                at, number = at + block, number + 1
+            if end == table.shape[1]:
+                rest = table[:, at:]
+                continue
+            if end > at:
+                yield table[:, at:end], number
+            table, number = table[:, end:], 0
+        cut = int(np.searchsorted(table[0], table[0, -1], side="left"))
+        if cut:
+            yield from whole(table[:, :cut])
+        rest = table[:, cut:]
+        while rest.shape[1] > block:
+            key = int(rest[0, 0])
+            yield rest[:, :block], number
+            rest, number = rest[:, block:], number + 1
+    if rest is not None and rest.shape[1]:
+        if number:
+            yield rest, number
+        else:
+            yield from whole(rest)
+
+
+#: A link (a, b), or a block of a key's run that is too long for one go.
+MET = "a long, b long, key long, number int, block binary"
+
+
+def met_batch(a, b, blocks: list[tuple[int, int, bytes]] = ()) -> pa.RecordBatch:
+    """Rows of MET."""
+    n, m = len(a), len(blocks)
+    cols = [np.concatenate([np.asarray(x, dtype=np.int64), np.zeros(m, dtype=np.int64)]) for x in (a, b)]
+    gap = np.arange(n + m) >= n
+    late = lambda k, t: pa.array([None] * n + [x[k] for x in blocks], type=t)
+    return pa.record_batch([*(pa.array(c, mask=gap) for c in cols), late(0, pa.int64()), late(1, pa.int32()), late(2, pa.binary())], names=["a", "b", "key", "number", "block"])
+
+
+def block_pairs(met: DataFrame) -> DataFrame:
+    """(key, number, other, left, right): each pair of blocks of a run, a block with itself included.
+
+    The pairs are dealt by key and block, so a single long run is work for many tasks.
+    """
+    blocks = met.where(F.col("block").isNotNull()).select("key", "number", "block")
+    tops = blocks.groupBy("key").agg(F.max("number").alias("top"))
+    pairs = blocks.select("key", "number").join(tops, "key").select("key", "number", F.explode(F.sequence("number", "top")).alias("other"))
+    named = lambda at, name: blocks.select("key", F.col("number").alias(at), F.col("block").alias(name))
+    return pairs.join(named("number", "left"), ["key", "number"]).join(named("other", "right"), ["key", "other"]).select("key", "number", "other", "left", "right")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bit", pa.int32()), *((c, pa.binary()) for c in ("left_fp", "left_rep", "right_fp", "right_rep"))])
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
+def _meet(most: int, block: int):
+    """Links of each key's run in a sorted partition, and the blocks of large runs."""
 
-        def settle(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """table: rows (key, fp, rep) of whole runs."""
-            key, fp, rep = table[0], table[1].view(np.uint64), table[2]
-            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, node), number in key_runs(batches, block):
+            if number is not None:
+                yield met_batch([], [], [(int(key[0]), number, node.tobytes())])
+                continue
+            fp, edge = node.view(np.uint64), run_edges(key)
             size = np.diff(edge)
-            links: list[tuple] = []
             two = edge[:-1][size == 2]  # by far the most
             x = fp[two] ^ fp[two + 1]
             ok = (np.bitwise_count(x) <= most) & (_first_key(x) == key[two] >> 32)
-            links += [(a, b, None, None, None, None, None) for a, b in zip(rep[two[ok]].tolist(), rep[two[ok] + 1].tolist())]
+            yield met_batch(node[two[ok]], node[two[ok] + 1])
+            links: list[tuple[int, int]] = []
             for s, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist()):
-                bit = int(key[s] >> 32)
-                if n <= block:
-                    f, r = fp[s : s + n], rep[s : s + n]
-                    links += [(a, b, None, None, None, None, None) for a, b in _links(f, r, f, r, True, bit, most)]
-                    continue
-                cuts = [(fp[i : min(i + block, s + n)].tobytes(), rep[i : min(i + block, s + n)].tobytes()) for i in range(s, s + n, block)]
-                for i, one in enumerate(cuts):
-                    for other in cuts[i:]:
-                        yield out([(None, None, bit, *one, *other)])
+                links += _links(fp[s : s + n], fp[s : s + n], True, int(key[s] >> 32), most)
             for i in range(0, len(links), 50_000):
-                yield out(links[i : i + 50_000])
-
-        for b in batches:
-            part = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]) if b.num_rows else None
-            if part is None:
-                continue
-            last = part[0, -1]
-            if part[0, 0] == last and (not kept or kept[0][0, 0] == last):
-                kept.append(part)  # all one run, which may go on
-                continue
-            cut = int(np.searchsorted(part[0], last, side="left"))
-            yield from settle(np.concatenate([*kept, part[:, :cut]], axis=1))
-            kept = [part[:, cut:]]
-        if kept:
-            yield from settle(np.concatenate(kept, axis=1))
+                yield met_batch(*zip(*links[i : i + 50_000]))
 
     return run
 
@@ -180,10 +228,8 @@ def _pair_blocks(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                fa, fb = (np.frombuffer(r[c], dtype=np.uint64) for c in ("left_fp", "right_fp"))
-                ra, rb = (np.frombuffer(r[c], dtype=np.int64) for c in ("left_rep", "right_rep"))
-                same = len(fa) == len(fb) and bool((fa == fb).all())
-                links = _links(fa, ra, fb, rb, same, r["bit"], most)
+                fa, fb = (np.frombuffer(r[c], dtype=np.uint64) for c in ("left", "right"))
+                links = _links(fa, fb, r["number"] == r["other"], r["key"] >> 32, most)
                 yield pa.record_batch([pa.array([x[i] for x in links], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
@@ -192,27 +238,29 @@ def _pair_blocks(most: int):
 def simhash_links(fps: DataFrame, most: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect just the fingerprints that chains of links connect.
 
-    ``fps``: distinct fp with rep, an id of its own. No chain is lost: of each key's
+    ``fps``: distinct fp, each a node of its own. No chain is lost: of each key's
     links a spanning forest is kept.
     """
     n = 2 * partitions(fps.sparkSession)
-    met = materialise(_variants(fps).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(most, block), _SCHEMA))
-    pairs = met.where(F.col("a").isNull()).drop("a", "b")
+    met = materialise(_variants(fps).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(most, block), MET))
     links = met.where(F.col("a").isNotNull()).select("a", "b")
-    return links.unionByName(pairs.repartition(n).mapInArrow(_pair_blocks(most), "a long, b long"))
+    return links.unionByName(block_pairs(met).mapInArrow(_pair_blocks(most), "a long, b long"))
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row per row of ``docs``.
 
     Null and empty texts, and texts of white space, have fingerprint zero and are
-    linked like any other. Rows without doc_id get a component (null if nothing in
-    it has an id). Repeated rows are linked by their equal fingerprints. Other
-    columns are ignored; an empty table gives an empty result.
+    linked like any other; a text of any length is hashed whole, 65536 shingles at a
+    time. Rows without doc_id link others and get the component they lie in; it is
+    null if nothing in it has an id. Repeated rows are linked by their equal
+    fingerprints. Other columns are ignored; an empty table gives an empty result.
     """
     fps = materialise(fingerprints(docs))
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    reps = distinct.withColumn("rep", F.coalesce("id", F.xxhash64("fp").bitwiseOR(F.lit(1 << 62))))
-    comp = components(simhash_links(reps.select("fp", "rep")))
-    named = reps.join(comp, reps.rep == comp.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    comp = components(simhash_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    # Components are worked out over fingerprints and named afterwards, so that a row without an id can't name one.
+    linked = distinct.join(comp, "fp")
+    named = linked.join(linked.groupBy("component").agg(F.min("id").alias("least")), "component").select("fp", "least")
+    every = materialise(distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "id").alias("component_id")))  # read plainly below, so that a hot fingerprint's join can be split
+    return fps.join(every, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

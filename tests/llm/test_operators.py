@@ -134,9 +134,30 @@ def test_simhash_links_lose_nothing(spark, block):
             fps.add(f ^ sum(1 << b for b in rng.sample(range(64), bits)))
     fps |= {base[0] ^ (1 << i) ^ (1 << j) for i in range(0, 30, 3) for j in range(31, 60, 4)}
     fps = sorted(fps)
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, rep long")
-    comp = {r.node: r.component for r in components(simhash.simhash_links(df, block=block)).collect()}
-    assert [comp.get(i, i) for i in range(len(fps))] == brute_components(fps)
+    nodes = [f - (1 << 64) if f >> 63 else f for f in fps]
+    comp = {r.node: r.component for r in components(simhash.simhash_links(spark.createDataFrame([(f,) for f in nodes], "fp long"), block=block)).collect()}
+    first = {}
+    for i, f in enumerate(nodes):
+        first.setdefault(comp.get(f, f), i)
+    assert [first[comp.get(f, f)] for f in nodes] == brute_components(fps)
+
+
+def test_simhash_rows_without_id(spark):
+    """Near copies without doc_id link others and never name a component."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        rows += [(1000 + k if k % 4 else None, " ".join(words)), (None, " ".join([*words[:-1], "other"])), (500 + k if k % 3 == 0 else None, " ".join(["first", *words[1:]]))]
+    fps = [brute_fingerprint(t) for _, t in rows]
+    comp = brute_components(fps)
+    least = {}
+    for (i, _), c in zip(rows, comp):
+        if i is not None:
+            least[c] = min(i, least.get(c, i))
+    got = simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert pairs(got, "doc_id", "fingerprint", "component_id") == sorted(((i, f"{f:016x}", least.get(c)) for (i, _), f, c in zip(rows, fps, comp)), key=repr)
+    assert len(set(comp)) < len(rows) and len(least) < len(set(comp))  # some are linked, and some groups have no id
 
 
 @settings(max_examples=4, deadline=None)
