@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from shoal.llm._base import materialise
 from shoal.llm.decontam import drop_leaks
 from shoal.llm.linedup import edit_lines
-from shoal.llm.neardup import near_components
 from shoal.llm.packing import pack_documents
 from shoal.llm.registry import tokenizer_path
+from shoal.llm.simhash_wide import near_components
 from shoal.llm.toxicity import drop_toxic, train_toxicity
 
 
@@ -39,10 +39,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of smallest doc_id stays.
 
-    Near duplicates share 0.8 or more of their 5-word shingles (Jaccard). Rows without doc_id stay, as does each row that bears a doc_id that stays.
+    Near duplicates share 0.8 or more of their 5-word shingles (Jaccard), verified on
+    whole texts that wide fingerprints bring together. A row without doc_id goes if
+    its group has an id; rows of a group without any stay, as do repeated rows of the
+    document that stays.
     """
-    gone = near_components(docs).groupBy("doc_id").agg(F.min("component_id").alias("keep")).where("doc_id != keep").select(F.col("doc_id").alias("shoal_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["shoal_gone"], "left_anti")
+    near = near_components(docs).where("component_id IS NOT NULL AND (doc_id IS NULL OR doc_id != component_id)")
+    none = F.lit(-(2**63))
+    gone = near.select(F.coalesce("doc_id", none).alias("shoal_id"), F.col("th").alias("shoal_th")).distinct()
+    on = (F.coalesce(docs["doc_id"].cast("long"), none) == gone["shoal_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["shoal_th"])
+    return docs.join(gone, on, "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,30 @@ def ids_of(df):
     return {r.doc_id for r in df.select("doc_id").collect()}
 
 
+def leads(rows, similarity=0.8):
+    """The least doc_id of each group of texts whose sets of 5-word shingles have that similarity, over all pairs that share a shingle."""
+    first, holders, up = {}, {}, {}
+    for r in rows:
+        words = (r.text or "").lower().split()
+        s = frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+        if r.doc_id is not None:
+            first[s] = min(r.doc_id, first.get(s, r.doc_id))
+
+    def find(s):
+        while up.get(s, s) != s:
+            s = up[s]
+        return s
+
+    for s in first:
+        for other in {o for g in s for o in holders.get(g, ())}:
+            if len(s & other) >= similarity * len(s | other):
+                a, b = sorted((find(s), find(other)), key=first.get)
+                up[b] = a
+        for g in s:
+            holders.setdefault(g, []).append(s)
+    return {i for s, i in first.items() if find(s) == s}
+
+
 def test_toxicity_stage(spark, planted):
     docs, ids, _ = planted
     out = STAGES["toxicity"](spark, docs, SF)
@@ -71,8 +95,9 @@ def test_simhash_stage(spark, planted):
     left = ids_of(out)
     assert out.columns == docs.columns and left & set(ids["copies"]) == {ids["copies"][0]}
     assert set(ids["clean"]) <= left and None in left
-    comp = {r.doc_id: r.component_id for r in registry.simhash_components(docs).collect()}
-    assert left == {i for i, c in comp.items() if i is None or c == i}
+    stays = leads(docs.collect())
+    # Whatever brute force keeps stays; of what it drops 3 of 100 may.
+    assert stays <= left and len(left - stays - {None}) <= 0.03 * (docs.count() - len(stays))
 
 
 def test_decontamination_stage(spark, planted):
