@@ -26,12 +26,17 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/shoal-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     Lost executors then cost no recomputation of what lies before, and several
-    readers share one computation.
+    readers share one computation. ``narrow``: a table of a few numbers a row, which
+    two files a core hold at any size; one file for each shuffle partition would be
+    thousands of tiny ones, and each costs the file system, and the executor that
+    opens it, more than its rows.
     """
+    if narrow:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     path = work_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -60,12 +65,12 @@ def distinct_texts(docs: DataFrame, labels: DataFrame | None = None, label: str
     else:
         y = labels.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
         rows = rows.select("doc_id", h).join(y, "doc_id", "left")
-    return materialise(rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")))
+    return materialise(rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")), narrow=True)
 
 
 def pick(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """Texts of the chosen (doc_id, y); ``chosen`` is bounded by its sample size, so it is broadcast."""
-    chosen = materialise(chosen.select("doc_id", "y"))
+    chosen = materialise(chosen.select("doc_id", "y"), narrow=True)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 

@@ -33,11 +33,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     shared folder, so lineage stays short. Only counts reach the driver.
     """
     now = materialise(
-        edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), narrow=True
     )
     before = None
     for _ in range(max_rounds):
-        stars = materialise(_star(_star(now, large=True), large=False))
+        stars = materialise(_star(_star(now, large=True), large=False), narrow=True)
         # A step that changes nothing leaves the same edges: compare count and an order-free checksum.
         state = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
         now = stars

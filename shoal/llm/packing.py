@@ -247,7 +247,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacit
     spark = docs.sparkSession
     salts = partitions(spark)
     pieces = materialise(tokenised_pieces(docs, tokenizer, capacity.tokens, with_ids)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    counts = materialise(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
+    counts = materialise(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), narrow=True)
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity.tokens rows at most
     plan = pack_histogram(histogram, capacity, rule=rule)
     table = np.array(sorted(plan), dtype=np.int64).reshape(-1, 6)

@@ -257,10 +257,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     fingerprints. Other columns are ignored; an empty table gives an empty result.
     """
     fps = materialise(fingerprints(docs))
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), narrow=True)
     comp = components(simhash_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     # Components are worked out over fingerprints and named afterwards, so that a row without an id can't name one.
     linked = distinct.join(comp, "fp")
     named = linked.join(linked.groupBy("component").agg(F.min("id").alias("least")), "component").select("fp", "least")
-    every = materialise(distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "id").alias("component_id")))  # read plainly below, so that a hot fingerprint's join can be split
+    every = materialise(distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "id").alias("component_id")), narrow=True)  # read plainly below, so that a hot fingerprint's join can be split
     return fps.join(every, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -248,7 +248,7 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> Da
 
     # The least doc_id and hash stand for a set, so that of a hot group of copies one row is read.
     least = rows.join(wanted, "sig").groupBy("sig").agg(F.min("id").alias("id"))
-    chosen = materialise(rows.join(least, ["sig", "id"]).groupBy("sig", "id").agg(F.min("th").alias("th")))
+    chosen = materialise(rows.join(least, ["sig", "id"]).groupBy("sig", "id").agg(F.min("th").alias("th")), narrow=True)
     texts = docs.select("id", F.xxhash64("text").alias("th"), "text").join(chosen, ["id", "th"]).dropDuplicates(["sig"]).select("sig", "text")
     return materialise(texts.mapInArrow(run, "sig long, shingles array<long>"))
 
@@ -280,8 +280,8 @@ def near_components(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     one = materialise(rows.groupBy("sig").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in _FP)))
     met = materialise(_variants(one).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(most, block), MET))
     long_runs = met.where("number >= 0")
-    pairs = materialise(_pairs(met, block_pairs(long_runs).mapInArrow(_pair_blocks(most, False), "a long, b long")))
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
+    pairs = materialise(_pairs(met, block_pairs(long_runs).mapInArrow(_pair_blocks(most, False), "a long, b long")), narrow=True)
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), narrow=True)
     sets = _sets(docs, rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))), wanted, width)
     links = _verified(pairs, sets, similarity)
     known = components(links).withColumnRenamed("node", "sig")
@@ -289,8 +289,8 @@ def near_components(docs: DataFrame, width: int = SHINGLE, similarity: float = S
         again = one.join(wanted, "sig").join(known, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         met = materialise(_variants(again, "component").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet_again(most, block), MET))
         more = _pairs(met, block_pairs(met).mapInArrow(_pair_blocks(most, True), "a long, b long")).join(pairs, ["a", "b"], "left_anti")
-        known = components(links.unionByName(_verified(materialise(more), sets, similarity))).withColumnRenamed("node", "sig")
+        known = components(links.unionByName(_verified(materialise(more, narrow=True), sets, similarity))).withColumnRenamed("node", "sig")
     linked = one.select("sig", "id").join(known, "sig")
     named = linked.join(linked.groupBy("component").agg(F.min("id").alias("least")), "component").select("sig", "least")
-    every = materialise(one.select("sig", "id").join(named, "sig", "left").select("sig", F.coalesce("least", "id").alias("component_id")))
+    every = materialise(one.select("sig", "id").join(named, "sig", "left").select("sig", F.coalesce("least", "id").alias("component_id")), narrow=True)
     return rows.join(every, "sig").select("doc_id", "th", "component_id")
