@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm._base import materialise
+from shoal.llm._base import fresh, materialise
 from shoal.llm.decontam import drop_leaks
 from shoal.llm.linedup import edit_lines
 from shoal.llm.packing import pack_documents
@@ -29,10 +29,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where a text changes and there is a column n_chars, it follows.
     """
-    out = edit_lines(docs)
+    removed, partners = fresh(docs, "shoal_removed", "shoal_partners")
+    out = edit_lines(docs, removed=removed, partners=partners)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("shoal_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
@@ -44,10 +45,11 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     its group has an id; rows of a group without any stay, as do repeated rows of the
     document that stays.
     """
+    row, th = fresh(docs, "shoal_id", "shoal_th")
     near = near_components(docs).where("component_id IS NOT NULL AND (doc_id IS NULL OR doc_id != component_id)")
     none = F.lit(-(2**63))
-    gone = near.select(F.coalesce("doc_id", none).alias("shoal_id"), F.col("th").alias("shoal_th")).distinct()
-    on = (F.coalesce(docs["doc_id"].cast("long"), none) == gone["shoal_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["shoal_th"])
+    gone = near.select(F.coalesce("doc_id", none).alias(row), F.col("th").alias(th)).distinct()
+    on = (F.coalesce(docs["doc_id"].cast("long"), none) == gone[row]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone[th])
     return docs.join(gone, on, "left_anti")
 
 

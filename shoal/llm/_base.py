@@ -30,22 +30,33 @@ def materialise(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     Lost executors then cost no recomputation of what lies before, and several
-    readers share one computation. ``narrow``: a table of a few numbers a row, which
-    two files a core hold at any size; one file for each shuffle partition would be
+    readers share one computation. At most some eight files a core are written, or
+    two of a ``narrow`` table (a few numbers a row): a file for each partition may be
     thousands of tiny ones, and each costs the file system, and the executor that
-    opens it, more than its rows.
+    opens it, more than its rows. A task then goes through several partitions one
+    after the other, so it needs no more memory.
     """
-    if narrow:
-        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
-    path = work_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, cores = work_dir(spark), spark.sparkContext.defaultParallelism
+    files = max(2 * cores, partitions(spark) // 16) if narrow else max(8 * cores, partitions(spark) // 4)
+    df.coalesce(files).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores as it takes for ``df`` not to have them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no classifier learns from (null ids: not held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
