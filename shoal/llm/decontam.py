@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,10 @@ from pyspark.sql import functions as F
 from shoal.llm._words import text_column
 
 K1, B = 1.2, 0.75
-#: A passage must reach this share of an item's score against itself, and this share of its shingles.
-SCORE, OVERLAP, SHINGLE = 0.5, 0.8, 5
-#: Items of a posting block (small, so that few terms of a passage meet in one); characters of items in one index; least passage stride in words.
-BLOCK, INDEX_CHARS, STRIDE = 4, 32_000_000, 64
+#: A passage must reach this share of an item's score against itself, this share of its question's shingles, and this share of its answer's.
+SCORE, OVERLAP, ANSWER, SHINGLE = 0.5, 0.8, 0.5, 5
+#: Items of a posting block (small, so that few terms of a passage meet in one); characters of items in one index; least passage stride in words; passages looked at in one go.
+BLOCK, INDEX_CHARS, STRIDE, AT_ONCE = 4, 32_000_000, 64, 256
 
 _word = re.compile(r"\w+")
 
@@ -27,7 +29,7 @@ def words_of(text: str) -> list[str]:
     return _word.findall(text.lower())
 
 
-def shingles(words: list[str], width: int = SHINGLE) -> set[tuple[str, ...]]:
+def shingles(words: list, width: int = SHINGLE) -> set[tuple]:
     """Word shingles; of fewer words the whole sequence, of none nothing."""
     if len(words) <= width:
         return {tuple(words)} if words else set()
@@ -43,61 +45,103 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words_of(text), []
 
 
+@dataclass
+class Statistics:
+    """What BM25 needs of all items, however many indexes they are spread over."""
+
+    df: Counter = field(default_factory=Counter)
+    items: int = 0
+    words: int = 0
+
+    def add(self, items: list[tuple[int, str]]) -> None:
+        for _, text in _distinct(items):
+            bag = words_of(text)
+            self.df.update(set(bag))
+            self.items, self.words = self.items + 1, self.words + len(bag)
+
+
+def _distinct(items: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    return sorted({(i, t) for i, t in items if t and words_of(t)}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
 class ItemIndex:
-    """Inverted index whose impacts are BM25 shares of each item's score against itself."""
+    """Inverted index whose impacts are BM25 shares of each item's score against itself.
+
+    All of it is in flat arrays: an item's words as numbers (``words`` from ``begin``
+    on), a term's blocks with their maxima (``block``, ``most`` from ``at`` on), and the
+    postings of each (term, block) (``item``, ``impact`` from ``first`` on).
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
-        items = sorted({(i, t) for i, t in items if t and words_of(t)}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
+        items = _distinct(items)
+        if statistics is None:
+            statistics = Statistics()
+            statistics.add(items)
         self.ids = [i for i, _ in items]
-        bags = [words_of(t) for _, t in items]
+        parts = [question_and_answer(t) for _, t in items]
+        bags = [q + a for q, a in parts]
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for b in bags for w in b}))}
         self.longest = max(map(len, bags), default=0)
-        self.parts = [tuple(shingles(p) for p in question_and_answer(t)) for _, t in items]
-        self.whole = [shingles(b) for b in bags]
-        df = Counter(w for b in bags for w in set(b))
-        mean = sum(map(len, bags)) / max(1, len(bags))
-        self.vocabulary = {w: k for k, w in enumerate(sorted(df))}
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for at, bag in enumerate(bags):
-            tf = Counter(bag)
-            impact = {w: math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(bag) / mean)) for w, n in tf.items()}
-            own = sum(impact.values())
-            for w, x in impact.items():
-                postings[self.vocabulary[w]].append((at, x / own))
-        self.postings = [postings[k] for k in range(len(self.vocabulary))]
-        self.blocks = -(-len(items) // BLOCK)
-        self.block_max = np.zeros((len(self.vocabulary), max(1, self.blocks)), dtype=np.float32)
-        for k, row in enumerate(self.postings):
-            for at, x in row:
-                self.block_max[k, at // BLOCK] = max(self.block_max[k, at // BLOCK], x)
+        self.begin = np.cumsum([0, *map(len, bags)])
+        self.answer = np.array([len(q) for q, _ in parts], dtype=np.int64)
+        self.words = np.fromiter((self.vocabulary[w] for b in bags for w in b), dtype=np.int32, count=int(self.begin[-1]))
+        n, mean, df = statistics.items, statistics.words / max(1, statistics.items), statistics.df
+        idf = np.array([math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in self.vocabulary])
+        of = np.repeat(np.arange(len(bags)), np.diff(self.begin))
+        key, tf = np.unique(self.words.astype(np.int64) * max(1, len(bags)) + of, return_counts=True)  # by term, then item
+        term, self.item = key // max(1, len(bags)), (key % max(1, len(bags))).astype(np.int32)
+        length = np.diff(self.begin)[self.item]
+        raw = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))
+        self.impact = raw / np.bincount(self.item, weights=raw, minlength=len(bags))[self.item]
+        self.blocks = max(1, -(-len(bags) // BLOCK))
+        self.entry, first = np.unique(term * self.blocks + self.item // BLOCK, return_index=True)
+        self.first = np.append(first, len(key))
+        self.most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
+        self.block = self.entry % self.blocks
+        self.at = np.searchsorted(self.entry // self.blocks, np.arange(len(self.vocabulary) + 1))
+        self.top = np.maximum.reduceat(self.most, self.at[:-1]) if len(self.most) else np.zeros(0)
 
     def open_blocks(self, window: np.ndarray, terms: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, list[int]]]:
-        """The blocks whose maxima let a passage reach ``least``: (passage, its terms, blocks).
+        """The blocks in which a passage may reach ``least``: (passage, its terms, blocks).
 
-        ``window`` and ``terms`` are parallel, sorted by passage, each term once.
+        ``window`` and ``terms`` are parallel, sorted by passage, each term once. The
+        terms of a passage whose maxima together stay below ``least`` can't bring an
+        item there alone: only blocks with one of its other terms are looked at, and of
+        those only what the block maxima of these and the rest's maxima let through.
         """
         if not len(window):
             return
-        cut = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
-        ends = [*cut[1:].tolist(), len(window)]
-        open_: dict[int, list[int]] = defaultdict(list)
-        for at in range(0, self.block_max.shape[1], 64):
-            bound = np.add.reduceat(self.block_max[terms, at : at + 64], cut, axis=0)
-            for row, col in zip(*(x.tolist() for x in np.nonzero(bound >= least - 1e-4))):
-                open_[row].append(at + col)
-        for row in sorted(open_):
-            yield int(window[cut[row]]), terms[cut[row] : ends[row]], open_[row]
+        order = np.lexsort((self.top[terms], window))
+        window, terms = window[order], terms[order]
+        cut = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1], [True])))
+        row = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        run = np.cumsum(self.top[terms])
+        run -= np.concatenate(([0.0], run))[cut[:-1]][row]
+        strong = run >= least - 1e-4
+        weak = np.bincount(row, weights=np.where(strong, 0.0, self.top[terms]), minlength=len(cut) - 1)
+        low, high = self.at[terms[strong]], self.at[terms[strong] + 1]
+        size = high - low
+        entry = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        met, which = np.unique(np.repeat(row[strong], size) * self.blocks + self.block[entry], return_inverse=True)
+        bound = np.bincount(which, weights=self.most[entry], minlength=len(met)) + weak[met // self.blocks]
+        met = met[bound >= least - 1e-4]
+        edge = np.flatnonzero(np.concatenate(([True], met[1:] // self.blocks != met[:-1] // self.blocks, [True]))) if len(met) else []
+        for s, e in zip(edge[:-1], edge[1:]):
+            k = int(met[s]) // self.blocks
+            yield int(window[cut[k]]), np.sort(terms[cut[k] : cut[k + 1]]), (met[s:e] % self.blocks).tolist()
 
     def search(self, terms: np.ndarray, blocks: list[int], least: float) -> list[tuple[int, float]]:
         """All items of the blocks that the distinct terms score at ``least`` or above: (place, score)."""
         found = []
         for block in blocks:
-            low, high = block * BLOCK, (block + 1) * BLOCK
-            bounds = self.block_max[terms, block]
-            cursors = []  # [item, upper bound, postings, place in them], by item
-            for t, bound in zip(terms[bounds > 0].tolist(), bounds[bounds > 0].tolist()):
-                row = self.postings[t]
-                place = _seek(row, low)
-                cursors.append([row[place][0], bound, row, place])
+            at = np.searchsorted(self.entry, terms * self.blocks + block)
+            at = at[(at < len(self.entry)) & (self.entry[np.minimum(at, len(self.entry) - 1)] == terms * self.blocks + block)]
+            if self.most[at].sum() < least - 1e-4:
+                continue
+            cursors = []  # [item, upper bound, items, impacts, place in them], by item
+            for bound, s, e in zip(self.most[at].tolist(), self.first[at].tolist(), self.first[at + 1].tolist()):
+                row = self.item[s:e].tolist()
+                cursors.append([row[0], bound, row, self.impact[s:e].tolist(), 0])
             while cursors:
                 cursors.sort(key=lambda c: c[0])
                 total, pivot = 0.0, None
@@ -112,21 +156,25 @@ class ItemIndex:
                     score = 0.0
                     for c in cursors:
                         if c[0] == pivot:
-                            score += c[2][c[3]][1]
-                            c[3] += 1
+                            score += c[3][c[4]]
+                            c[4] += 1
                     if score >= least:
                         found.append((pivot, score))
                 else:
                     for c in cursors:
                         if c[0] < pivot:
-                            c[3] = _seek(c[2], pivot, c[3])
+                            c[4] = bisect_left(c[2], pivot, c[4])
+                cursors = [c for c in cursors if c[4] < len(c[2])]
                 for c in cursors:
-                    c[0] = c[2][c[3]][0] if c[3] < len(c[2]) else high
-                cursors = [c for c in cursors if c[0] < high]
+                    c[0] = c[2][c[4]]
         return found
 
-    def leaks(self, text: str, least: float = SCORE, overlap: float = OVERLAP) -> list[tuple]:
-        """Items that the text holds: (id, score, overlap, question's, answer's, first word, end word)."""
+    def leaks(self, text: str, least: float = SCORE, overlap: float = OVERLAP, answer: float = ANSWER) -> list[tuple]:
+        """Items that the text holds: (id, score, overlap, question's, answer's, first word, end word).
+
+        Of the passages with an item's question and answer that with the largest
+        overlap counts, of equal ones that with the larger score, then the first.
+        """
         words = words_of(text)
         get = self.vocabulary.get
         terms = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
@@ -136,36 +184,31 @@ class ItemIndex:
         stride = max(STRIDE, self.longest)
         segment = hits // stride
         last = max(0, -(-len(words) // stride) - 2)  # passage k is segments k and k + 1, so each run of `stride` words is within one
-        window = np.concatenate([np.minimum(segment, last), segment[segment > 0] - 1])
-        keys = np.unique(window * len(self.vocabulary) + np.concatenate([terms[hits], terms[hits[segment > 0]]]))
         best: dict[int, tuple] = {}
-        for k, inside, blocks in self.open_blocks(keys // len(self.vocabulary), keys % len(self.vocabulary), least):
-            found = self.search(inside, blocks, least)
-            if not found:
-                continue
-            start = k * stride
-            passage = words[start : start + 2 * stride]
-            there = shingles(passage)
-            for at, score in found:
-                share = _share(self.whole[at], there, passage)
-                if share >= overlap and (at not in best or (share, score) > (best[at][2], best[at][1])):
-                    q, z = (_share(p, there, passage) for p in self.parts[at])
-                    best[at] = (self.ids[at], score, share, q, z, start, start + len(passage))
+        for low in range(0, last + 1, AT_ONCE):  # passages of this part; a long text's arrays are bounded by it
+            near = (segment >= low) & (segment <= low + AT_ONCE)
+            seg, term = segment[near], terms[hits[near]]
+            window = np.concatenate([np.minimum(seg, last), seg[seg > 0] - 1])
+            term = np.concatenate([term, term[seg > 0]])
+            inside = (window >= low) & (window < low + AT_ONCE)
+            keys = np.unique(window[inside] * len(self.vocabulary) + term[inside])
+            for k, some, blocks in self.open_blocks(keys // len(self.vocabulary), keys % len(self.vocabulary), least):
+                found = self.search(some, blocks, least)
+                if not found:
+                    continue
+                start = k * stride
+                passage = terms[start : start + 2 * stride].tolist()
+                there = shingles(passage)
+                for at, score in found:
+                    item = self.words[self.begin[at] : self.begin[at + 1]].tolist()
+                    cut = int(self.answer[at])
+                    share, q, a = (_share(shingles(x), there, passage) for x in (item, item[:cut], item[cut:]))
+                    if q >= overlap and a >= answer and (at not in best or (share, score) > (best[at][2], best[at][1])):
+                        best[at] = (self.ids[at], score, share, q, a, start, start + len(passage))
         return [best[at] for at in sorted(best)]
 
 
-def _seek(row: list[tuple[int, float]], item: int, place: int = 0) -> int:
-    lo, hi = place, len(row)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if row[mid][0] < item:
-            lo = mid + 1
-        else:
-            hi = mid
-    return lo
-
-
-def _share(wanted: set[tuple[str, ...]], there: set[tuple[str, ...]], words: list[str]) -> float:
+def _share(wanted: set[tuple], there: set[tuple], words: list) -> float:
     """Share of the wanted shingles that stand in the passage; 1 if none is wanted."""
     if not wanted:
         return 1.0
@@ -179,34 +222,39 @@ def _share(wanted: set[tuple[str, ...]], there: set[tuple[str, ...]], words: lis
 _LEAK = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double, word_start long, word_end long"
 
 
-def _indexes(benchmark: DataFrame) -> Iterator:
-    """Broadcast indexes of the items, in shards of about INDEX_CHARS characters."""
+def _indexes(benchmark: DataFrame, chars: int = INDEX_CHARS) -> Iterator:
+    """Broadcast indexes of the items, in shards of about ``chars`` characters, all with the statistics of the whole benchmark."""
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-size // INDEX_CHARS))
-    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
-    for s in range(shards):
-        items = [(r["item_id"], r["text"]) for r in benchmark.where(shard == s).select("item_id", "text").where(F.length("text") > 0).collect()]
-        yield benchmark.sparkSession.sparkContext.broadcast(ItemIndex(items))
+    shards = max(1, -(-size // chars))
+    items = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).alias("shard")).where(F.length("text") > 0)
+    shard = lambda k: [(r["item_id"], r["text"]) for r in items.where(F.col("shard") == k).collect()]
+    statistics = Statistics()
+    for k in range(shards if shards > 1 else 0):
+        statistics.add(shard(k))
+    for k in range(shards):
+        yield benchmark.sparkSession.sparkContext.broadcast(ItemIndex(shard(k), statistics if shards > 1 else None))
 
 
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, overlap: float = OVERLAP) -> DataFrame:
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, overlap: float = OVERLAP, answer: float = ANSWER, chars: int = INDEX_CHARS) -> DataFrame:
     """(doc_id, item_id, scores, place) for each benchmark item that a document holds.
 
     Whole texts are searched in passages that overlap by half, so each item lies
-    within one. Items are indexed in shards of at most INDEX_CHARS characters, each
-    searched by all passages; scores are shares of an item's own score, which makes
-    them comparable between shards. Null and empty texts and items without a word
-    match nothing; repeated items count once; repeated rows and rows without doc_id
-    each give their own matches. Empty tables give an empty result.
+    within one. What scores ``least`` or more is verified: ``overlap`` of the shingles
+    of an item's question and ``answer`` of those of its answer (an item without an
+    answer: its question) must stand in the passage. Items are indexed in shards of at
+    most ``chars`` characters, each searched by all passages and with the same
+    statistics. Null and empty texts and items without a word match nothing; repeated
+    items count once; repeated rows and rows without doc_id each give their own
+    matches. Other columns are ignored; empty tables give an empty result.
     """
     found = None
-    for index in _indexes(benchmark):
+    for index in _indexes(benchmark, chars):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             idx = index.value
             for b in batches:
                 ids = b.column(0).cast(pa.int64()).to_pylist()
-                rows = [(i, *leak) for i, t in zip(ids, text_column(b.column(1))) for leak in idx.leaks(t.as_py(), least, overlap)]
+                rows = [(i, *leak) for i, t in zip(ids, text_column(b.column(1))) for leak in idx.leaks(t.as_py(), least, overlap, answer)]
                 if rows:
                     types = [pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64(), pa.int64()]
                     yield pa.record_batch([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)], names=[x.split()[0] for x in _LEAK.split(", ")])
@@ -216,7 +264,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE,
     return found
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, overlap: float = OVERLAP) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, overlap: float = OVERLAP, answer: float = ANSWER) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose own text holds no benchmark item."""
     at, schema = docs.columns.index("text"), docs.schema
     for index in _indexes(benchmark):
@@ -224,7 +272,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, over
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             idx = index.value
             for b in batches:
-                yield b.filter(pa.array([not idx.leaks(t.as_py(), least, overlap) for t in text_column(b.column(at))], type=pa.bool_()))
+                yield b.filter(pa.array([not idx.leaks(t.as_py(), least, overlap, answer) for t in text_column(b.column(at))], type=pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)
     return docs

@@ -258,29 +258,69 @@ def test_patience_is_longest(points):
 # 9: decontamination
 
 
+def brute_leaks(rows, items):
+    """(doc_id, item_id): question's share 0.8 and answer's 0.5 of 5-word shingles, over the whole text."""
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def held(part, w, there):
+        if len(part) < 5:
+            return float(any(w[i : i + len(part)] == part for i in range(len(w) - len(part) + 1)))
+        return len(grams(part) & there) / len(grams(part))
+
+    out = set()
+    for doc_id, text in rows:
+        w = words(text)
+        there = grams(w)
+        for item_id, item in items:
+            q, a = decontam.question_and_answer(item)
+            if (q or a) and held(q, w, there) >= 0.8 and held(a, w, there) >= 0.5:
+                out.add((doc_id, item_id))
+    return out
+
+
 def test_decontamination(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    wanted = {i: decontam.shingles(decontam.words_of(t)) for i, t in items}
-    want = set()
-    for r in documents(spark).collect():
-        there = decontam.shingles(decontam.words_of(r.text or ""))
-        want |= {(r.doc_id, i) for i, w in wanted.items() if len(w & there) / len(w) >= 0.8}
+    want = brute_leaks([(r.doc_id, r.text) for r in documents(spark).collect()], items)
     got = registry.op9_decontamination(spark, SF)
     assert set(pairs(got, "doc_id", "item_id")) == want and want
 
 
+def test_decontamination_verifies_question_and_answer(spark):
+    rng = random.Random(2)
+    word = lambda: rng.choice(["ab", "ce", "di", "fo"]) + rng.choice(["lu", "ma", "no", "pi"]) + rng.choice(["r", "s", "t"])
+    some = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, f"{some(20)}?\n{some(8 if k % 2 else 3)}.") for k in range(30)] + [(30, some(12)), (31, some(3))]
+    rows = []
+    for k, t in items:
+        q, _, a = t.partition("\n")
+        rows += [(10 * k, f"{some(90)} {t} {some(200)}"), (10 * k + 1, f"{some(50)} {q} {some(60)}"), (10 * k + 2, f"{some(9)} {a} {some(9)}"), (10 * k + 3, f"{some(9)} {q.replace('?', '')} {a} {some(500)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.benchmark_leaks(docs, bench).collect()}
+    assert set(got) == brute_leaks(rows, items) >= {(10 * k, k) for k, _ in items}
+    assert not {(10 * k + 1, k) for k in range(30)} & set(got) and all(r.question_overlap >= 0.8 and r.answer_overlap >= 0.5 for r in got.values())
+    # One index or many: the same items with the same scores.
+    many = {(r.doc_id, r.item_id): r for r in decontam.benchmark_leaks(docs, bench, chars=400).collect()}
+    assert set(many) == set(got) and all(abs(many[k].score - got[k].score) < 1e-12 for k in got)
+
+
 def test_wand_finds_what_full_scoring_finds():
     rng = random.Random(4)
     word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou")
     index = decontam.ItemIndex([(i, " ".join(word() for _ in range(rng.randrange(3, 30)))) for i in range(60)])
-    for _ in range(60):
-        terms = np.array(sorted(rng.sample(range(len(index.vocabulary)), 25)))
+    size = len(index.vocabulary)
+    drawn = [np.array(sorted(rng.sample(range(size), 25))) for _ in range(60)]
+    got = {k: set() for k in range(60)}
+    for k, inside, blocks in index.open_blocks(np.repeat(np.arange(60), 25), np.concatenate(drawn), 0.3):
+        got[k] = {at for at, _ in index.search(inside, blocks, 0.3)}
+    for k, terms in enumerate(drawn):
         score = Counter()
         for t in terms.tolist():
-            for at, x in index.postings[t]:
-                score[at] += x
-        ((_, inside, blocks),) = list(index.open_blocks(np.zeros(len(terms), dtype=int), terms, 0.3)) or [(0, terms, [])]
-        assert {at for at, _ in index.search(inside, blocks, 0.3)} == {at for at, x in score.items() if x >= 0.3}
+            for p in range(index.first[index.at[t]], index.first[index.at[t + 1]]):
+                score[int(index.item[p])] += index.impact[p]
+        assert got[k] == {at for at, x in score.items() if x >= 0.3}
+    assert any(got.values())
 
 
 def test_decontamination_awkward(spark):

@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from shoal.llm import decontam, registry
+from test_operators import brute_leaks
 
 SF = "/root/testdata/sf0.01"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -104,12 +104,7 @@ def test_decontamination_stage(spark, planted):
     docs, ids, _ = planted
     out = STAGES["benchmark decontamination"](spark, docs, SF)
     left = ids_of(out)
-    items = [decontam.shingles(decontam.words_of(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    want = set()
-    for r in docs.collect():
-        there = decontam.shingles(decontam.words_of(r.text or ""))
-        if any(len(w & there) / len(w) >= 0.8 for w in items):
-            want.add(r.doc_id)
+    want = {i for i, _ in brute_leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])}
     assert out.columns == docs.columns and left == ids_of(docs) - want and set(ids["leak"]) <= want and not want & set(ids["clean"])
 
 
