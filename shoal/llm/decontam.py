@@ -19,8 +19,8 @@ from shoal.llm._words import text_column
 K1, B = 1.2, 0.75
 #: A passage must reach this share of an item's score against itself, this share of its question's shingles, and this share of its answer's.
 SCORE, OVERLAP, ANSWER, SHINGLE = 0.5, 0.8, 0.5, 5
-#: Items of a posting block (small, so that few terms of a passage meet in one); characters of items in one index; least passage stride in words; passages looked at in one go.
-BLOCK, INDEX_CHARS, STRIDE, AT_ONCE = 4, 32_000_000, 64, 256
+#: Items of a posting block (small, so that few terms of a passage meet in one); characters of items in one index; least passage stride in words; passages looked at in one go; the share of SCORE below which a passage's weakest terms stay together.
+BLOCK, INDEX_CHARS, STRIDE, AT_ONCE, WEAK = 4, 32_000_000, 64, 256, 0.5
 
 _word = re.compile(r"\w+")
 
@@ -105,9 +105,9 @@ class ItemIndex:
         """The blocks in which a passage may reach ``least``: (passage, its terms, blocks).
 
         ``window`` and ``terms`` are parallel, sorted by passage, each term once. The
-        terms of a passage whose maxima together stay below ``least`` can't bring an
-        item there alone: only blocks with one of its other terms are looked at, and of
-        those only what the block maxima of these and the rest's maxima let through.
+        weakest terms of a passage, whose maxima together stay well below ``least``,
+        can't bring an item there alone: only blocks with one of the others are looked
+        at, and the weak terms' maxima only of blocks that the others leave within reach.
         """
         if not len(window):
             return
@@ -117,19 +117,36 @@ class ItemIndex:
         row = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
         run = np.cumsum(self.top[terms])
         run -= np.concatenate(([0.0], run))[cut[:-1]][row]
-        strong = run >= least - 1e-4
+        strong = run >= WEAK * least - 1e-4
+        met, bound = self._sums(row, terms, strong)
         weak = np.bincount(row, weights=np.where(strong, 0.0, self.top[terms]), minlength=len(cut) - 1)
-        low, high = self.at[terms[strong]], self.at[terms[strong] + 1]
-        size = high - low
-        entry = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        met, which = np.unique(np.repeat(row[strong], size) * self.blocks + self.block[entry], return_inverse=True)
-        bound = np.bincount(which, weights=self.most[entry], minlength=len(met)) + weak[met // self.blocks]
-        met = met[bound >= least - 1e-4]
+        left = bound + weak[met // self.blocks] >= least - 1e-4
+        met, bound = met[left], bound[left]
+        if len(met):
+            some, more = self._sums(row, terms, ~strong & np.isin(row, met // self.blocks))
+            if len(some):
+                at = np.minimum(np.searchsorted(some, met), len(some) - 1)
+                bound = bound + np.where(some[at] == met, more[at], 0.0)
+            met = met[bound >= least - 1e-4]
         edge = np.flatnonzero(np.concatenate(([True], met[1:] // self.blocks != met[:-1] // self.blocks, [True]))) if len(met) else []
         for s, e in zip(edge[:-1], edge[1:]):
             k = int(met[s]) // self.blocks
             yield int(window[cut[k]]), np.sort(terms[cut[k] : cut[k + 1]]), (met[s:e] % self.blocks).tolist()
 
+    def _sums(self, row: np.ndarray, terms: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the block maxima of those terms: (passage and block as one number, ascending; sum)."""
+        low, high = self.at[terms[which]], self.at[terms[which] + 1]
+        size = high - low
+        entry = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        key = np.repeat(row[which], size) * self.blocks + self.block[entry]
+        span = int(row[-1] + 1) * self.blocks
+        if span <= 4 * len(key) + 1024:  # few blocks: all of them in one array
+            total = np.bincount(key, weights=self.most[entry], minlength=span)
+            met = np.flatnonzero(total)
+            return met, total[met]
+        met, place = np.unique(key, return_inverse=True)
+        return met, np.bincount(place, weights=self.most[entry], minlength=len(met))
+
     def search(self, terms: np.ndarray, blocks: list[int], least: float) -> list[tuple[int, float]]:
         """All items of the blocks that the distinct terms score at ``least`` or above: (place, score)."""
         found = []
