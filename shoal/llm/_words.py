@@ -63,12 +63,13 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class WordTable:
     """Rows of numbers per word, computed once per worker.
 
-    ``make`` gives the row of a word. At ``limit`` words the table starts anew, so
-    memory is bounded however many words the corpus has.
+    ``make`` gives the row of a word, or with ``many`` the rows of a list of words. At
+    ``limit`` words the table starts anew, so memory is bounded however many words the
+    corpus has.
     """
 
-    def __init__(self, make: Callable[[str], tuple], width: int, limit: int = 600_000):
-        self.make, self.width, self.limit = make, width, limit
+    def __init__(self, make: Callable, width: int, limit: int = 600_000, many: bool = False):
+        self.make, self.width, self.limit, self.many = make, width, limit, many
         self._clear()
 
     def _clear(self) -> None:
@@ -86,6 +87,12 @@ class WordTable:
             grown[: len(self.rows)] = self.rows
             self.rows = grown
         rows, at = self.rows, np.empty(len(words), dtype=np.int64)
+        if self.many:
+            first, new = len(index), [w for w in words if w not in index]
+            if new:
+                index.update(zip(new, range(first, first + len(new))))
+                rows[first : len(index)] = make(new)
+            return rows[np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))]
         for k, word in enumerate(words):
             i = index.get(word)
             if i is None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,14 +18,37 @@ BUCKETS, SIZE, PER_LANGUAGE = 4096, 16, 400
 UNKNOWN = "und"
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the 1- to 3-grams of a word's letters between marks, and of the whole word."""
-    letters = "".join(filter(str.isalpha, word)).lower()
-    if not letters:
-        return []
-    marked = f"<{letters}>"
-    grams = [marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1)] + [marked]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the 1- to 3-grams of the words' letters, their ends marked, and of the whole words; and whose they are."""
+    import regex
+
+    text = regex.sub(r"[^\p{L}\n]+", "", "\n" + "\n".join(words).lower() + "\n")
+    at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    end = at == 10
+    word = np.cumsum(end) - 1  # a mark belongs to the word after it
+    letter = ~end
+    pad = np.concatenate([at, np.full(2, 10, dtype=np.uint64)])
+    second, third = pad[1:-1], pad[2:]
+    one, two, three = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+    pairs = letter | (second != 10)
+    inner = (second != 10) & (letter | (third != 10))  # the letter in the middle says whose it is
+    codes = [at[letter] * one, (at * one + second * two + np.uint64(1))[pairs], (at * one + second * two + third * three + np.uint64(2))[inner]]
+    owner = [word[letter], word[pairs], word[inner]]
+    begin = np.flatnonzero(letter & np.concatenate(([True], end[:-1])))
+    if len(begin):
+        place = (np.arange(len(at)) - np.maximum.accumulate(np.where(end, np.arange(len(at)), -1))).astype(np.uint64)
+        spelt = _mix(at + (place << np.uint64(32)))
+        spelt[end] = 0
+        codes.append(np.add.reduceat(spelt, begin) + np.uint64(3))
+        owner.append(word[begin])
+    return (_mix(np.concatenate(codes)) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owner)
 
 
 @dataclass
@@ -37,9 +59,11 @@ class LanguageModel:
     temperature: float = 1.0
     reject: float = 0.0  # calibrated probability under which a text counts as unknown
 
-    def word(self, word: str) -> tuple:
-        at = subwords(word)
-        return (*(self.parts[at].sum(axis=0) if at else np.zeros(len(self.languages))), len(at))
+    def rows(self, words: list[str]) -> np.ndarray:
+        """What each word adds to the logits' sums, and how many subwords it has."""
+        at, owner = subwords(words)
+        sums_ = [np.bincount(owner, weights=self.parts[at, k], minlength=len(words)) for k in range(len(self.languages))]
+        return np.stack([*sums_, np.bincount(owner, minlength=len(words))], axis=1)
 
     def probabilities(self, total: np.ndarray) -> np.ndarray:
         """Of texts whose words' rows have these sums."""
@@ -106,7 +130,7 @@ def train_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Langua
         for b in batches:
             at, n = [], []
             for t in text_column(b.column(1)):
-                bag = np.bincount(np.array([k for w in t.as_py().split() for k in subwords(w)], dtype=np.int64), minlength=BUCKETS)
+                bag = np.bincount(subwords(t.as_py().split())[0], minlength=BUCKETS)
                 at.append(np.flatnonzero(bag).astype(np.int32).tobytes())
                 n.append(bag[bag > 0].astype(np.int32).tobytes())
             yield pa.record_batch([b.column(0).cast(pa.int64()), b.column(2), pa.array(at, type=pa.binary()), pa.array(n, type=pa.binary())], names=["doc_id", "y", "at", "n"])
@@ -118,17 +142,19 @@ def train_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Langua
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, reject: float | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: a row per row, whole texts.
+    """doc_id, held_out, lang_pred, score, rejected: a row per row, whole texts.
 
     ``und`` with score 0 if a text is null or has no letter; ``und`` too if the
     calibrated probability is below ``reject`` (the model's own threshold if None).
+    ``rejected`` says whether it is below the model's own threshold. Of languages with
+    equal scores the first by name is taken; texts of any length are read whole.
     Rows without doc_id and repeated rows are handled like others, other columns are
     ignored, an empty table gives an empty result.
     """
     least = model.reject if reject is None else reject
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(model.word, len(model.languages) + 1)
+        table = WordTable(model.rows, len(model.languages) + 1, many=True)
         for b in batches:
             for first, part in chunks(text_column(b.column(1))):
                 words, at, offsets = split_words(part)
@@ -137,7 +163,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, reject: float | No
                 best, known = p.argmax(axis=1), total[:, -1] > 0
                 score = np.where(known, p.max(axis=1), 0.0)
                 pred = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), (known & (score >= least)).tolist())]
-                yield pa.record_batch([b.column(0).slice(first, len(part)).cast(pa.int64()), pa.array(pred, type=pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+                yield pa.record_batch([b.column(0).slice(first, len(part)).cast(pa.int64()), pa.array(pred, type=pa.string()), pa.array(score), pa.array(~known | (score < model.reject))], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,7 +105,8 @@ class _WordIds:
 
     Words of Latin-1 letters, which its normalisation only turns to lower case, are cut
     into parts here, so that a part is merged once whatever stands around it. All
-    other words go through the tokenizer whole.
+    other words go through the tokenizer whole, and so do texts that hold the string
+    of a special token, which the tokenizer finds wherever it stands.
     """
 
     def __init__(self, path: str):
@@ -113,7 +115,7 @@ class _WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts, self.merge = regex.compile(PARTS).findall, self.tokenizer.model.tokenize
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves, the others come after
         self.signs = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
@@ -182,6 +184,20 @@ class _WordIds:
         Words are looked up for all texts together, ids laid out for about
         ``words_at_once`` words, a text at least.
         """
+        whole = np.zeros(len(texts), dtype=bool)
+        for content in self.special:
+            whole |= np.asarray(pc.match_substring(texts, content))
+        at = 0
+        for k in np.flatnonzero(whole).tolist() + [len(texts)]:
+            if k > at:
+                for row, ids, offsets in self._by_word(texts.slice(at, k - at), words_at_once):
+                    yield at + row, ids, offsets
+            if k < len(texts):
+                ids = self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids
+                yield k, np.array([*ids, 0], dtype=np.uint32), np.array([0, len(ids) + 1])
+            at = k + 1
+
+    def _by_word(self, texts: pa.Array, words_at_once: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         words, at, offsets = split_words(texts)
         start, length = self.lookup(words)
         row = 0
@@ -242,7 +258,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacit
     Null text counts as empty, rows without doc_id and repeated rows are packed as
     documents of their own, other columns are ignored, and an empty table gives an
     empty result. Pieces of equal length are interchangeable; which of them goes
-    where follows a hash of doc_id and piece.
+    where follows a hash of doc_id and piece. Texts of any length are cut whole. With
+    the default capacity a sequence is bound by its tokens alone: documents and
+    attention cost can't exceed theirs before; smaller ones bind as well.
     """
     spark = docs.sparkSession
     salts = partitions(spark)
@@ -256,7 +274,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacit
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = pieces.join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.row_number().over(within) - 1)
+    # The window needs the pieces dealt by length and salt anyway, so the join is a merge of what is dealt, whatever the size of the bases.
+    ranked = pieces.join(bases.hint("merge"), ["length", "salt"]).withColumn("rank", F.col("base") + F.row_number().over(within) - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = table[:, 0] * span + table[:, 1]

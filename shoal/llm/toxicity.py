@@ -43,7 +43,7 @@ class PUModel:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[f] for f in sorted(present)), -40, 40))))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, keep: int = FEATURES) -> PUModel:
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 1500, rate: float = 0.2, decay: float = 3e-5, keep: int = FEATURES) -> PUModel:
     """Linear classifier on feature presence, by the non-negative risk estimator.
 
     Steps of logistic loss come first, steps of sigmoid loss after them.
@@ -148,6 +148,7 @@ def score_toxicity(docs: DataFrame, model: PUModel) -> DataFrame:
     """doc_id, held_out, score, predicted: a row per row, whole texts.
 
     Null counts as empty; an empty text has the score of a text without any feature.
+    Texts of any length are scored whole, equal texts alike, wherever they stand.
     Rows without doc_id and repeated rows are scored like others, other columns are
     ignored, an empty table gives an empty result.
     """

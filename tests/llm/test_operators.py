@@ -212,12 +212,33 @@ def test_pack_histogram_keeps_every_constraint(counts, docs, rule, attention):
     assert sorted(bins) == list(range(len(bins)))
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list("aZéÉßµ½'\"sSt.,-#09 \t\n\x1c\x85\xa0İſ한ΣΑσ😀")), max_size=40), min_size=1, max_size=8))
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"aZéÉßµ½'\"sSt.,-#09 \t\n\x1c\x85\xa0İſ한ΣΑσ😀<|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]), max_size=40).map("".join), min_size=1, max_size=8))
 def test_word_ids_equal_whole_encoding(texts):
-    encoder = packing._encoder(registry.tokenizer_path())
-    got = [ids[c[i] : c[i + 1]].tolist() for _, ids, c in encoder.encode(pa.array(texts), 7) for i in range(len(c) - 1)]
-    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    from tokenizers import Tokenizer
+
+    encoder, plain = packing._encoder(registry.tokenizer_path()), Tokenizer.from_file(registry.tokenizer_path())
+    got = {}
+    for first, ids, c in encoder.encode(pa.array(texts), 7):
+        got |= {first + i: ids[c[i] : c[i + 1]].tolist() for i in range(len(c) - 1)}
+    assert [got[k] for k in range(len(texts))] == [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
+def test_packing_special_tokens(spark):
+    """Their strings in a text are the ids that the tokenizer gives them."""
+    d = spark.createDataFrame([(1, "hello <|endoftext|> world"), (2, "plain"), (3, "<|startoftext|>" * 3000)], "doc_id long, text string")
+    got = packing.pack_documents(d, registry.tokenizer_path(), with_ids=True).toPandas().sort_values(["doc_id", "piece"])
+    assert [list(x) for x in got.ids[:2]] == [[3306, 49407, 1002, 0], packing._encoder(registry.tokenizer_path()).tokenizer.encode("plain").ids + [0]]
+    assert got.length.tolist()[2:] == [2048, 953]
+
+
+def test_packing_binding_capacities(spark):
+    """Few documents a sequence and a small attention cost bind before the tokens do."""
+    d = spark.createDataFrame([(i, "w " * (i % 29)) for i in range(300)], "doc_id long, text string")
+    got = packing.pack_documents(d, registry.tokenizer_path(), packing.Capacity(64, 3, 900)).toPandas()
+    bins = got.groupby("sequence_id").length.agg(["sum", "size", lambda x: (x**2).sum()])
+    assert len(got) == 300
+    assert (bins["sum"] <= 64).all() and (bins["size"] <= 3).all() and (bins["<lambda_0>"] <= 900).all() and (bins["size"] == 3).any()
 
 
 # 8: line dedup
