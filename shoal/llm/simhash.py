@@ -180,13 +180,13 @@ def key_runs(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[np
 MET = "a long, b long, key long, number int, block binary"
 
 
-def met_batch(a, b, blocks: list[tuple[int, int, bytes]] = ()) -> pa.RecordBatch:
-    """Rows of MET."""
+def met_batch(a, b, blocks: list[tuple[int, int, bytes]] = (), number: int | None = None) -> pa.RecordBatch:
+    """Rows of MET; links may bear a (negative) number of their own."""
     n, m = len(a), len(blocks)
     cols = [np.concatenate([np.asarray(x, dtype=np.int64), np.zeros(m, dtype=np.int64)]) for x in (a, b)]
     gap = np.arange(n + m) >= n
-    late = lambda k, t: pa.array([None] * n + [x[k] for x in blocks], type=t)
-    return pa.record_batch([*(pa.array(c, mask=gap) for c in cols), late(0, pa.int64()), late(1, pa.int32()), late(2, pa.binary())], names=["a", "b", "key", "number", "block"])
+    late = lambda k, t, early=None: pa.array([early] * n + [x[k] for x in blocks], type=t)
+    return pa.record_batch([*(pa.array(c, mask=gap) for c in cols), late(0, pa.int64()), late(1, pa.int32(), number), late(2, pa.binary())], names=["a", "b", "key", "number", "block"])
 
 
 def block_pairs(met: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 The method of ``simhash``, for texts that are less alike than four bits of 64 allow.
 A copy of similarity 0.8 differs in about a bit of seven, so a fingerprint of 306 bits
 is cut into 17 segments, each indexed with every single bit left out; copies agree but
-for one bit in a segment or more. Rows that meet under a key are sifted by 64 bits of
-the fingerprint, and what remains is verified on the whole sets of shingles: no pair
+for one bit in a segment or more. Rows that meet under a key are sifted by 64 more bits,
+then by all bits, and what remains is verified on the whole sets of shingles: no pair
 below the similarity is linked, and of those at or above it few are missed (the README
 gives the measured share).
 """
@@ -26,11 +26,12 @@ from shoal.llm.components import components
 from shoal.llm.simhash import MET, block_pairs, key_runs, met_batch, run_edges
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Segments and their bits; how many of the first 64 bits may differ in two sets that are compared in full.
-SEGMENTS, WIDTH, MOST = 17, 18, 18
-WORDS = -(-SEGMENTS * WIDTH // 64)
+#: Segments and their bits; how many of the 64 bits beyond them, and of all bits, may differ in two sets that are compared in full. At 0.8 about 10 and 58 do, of unlike sets 32 and 192.
+SEGMENTS, WIDTH, MOST, MOST_OF_ALL = 17, 18, 18, 88
+WORDS = -(-SEGMENTS * WIDTH // 64) + 1
 #: Rows of one key that are compared in one go, and near pairs of a key beyond which a first round takes a spanning star of them.
 BLOCK, DENSE = 1024, 10
+STAR = -1  # marks the pairs of such stars
 
 _step = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
@@ -101,22 +102,22 @@ def _fingerprints(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _variants(one: DataFrame, *more: str) -> DataFrame:
-    """SEGMENTS x WIDTH rows a set: key = segment, which bit is left out and the rest of the segment; f0, sig and ``more``."""
+    """SEGMENTS x WIDTH rows a set: key = segment, which bit is left out and the rest of the segment; the last word, sig and ``more``."""
     # key: the number of the segment and bit, before the segment's bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power, one_out = (1 << np.arange(WIDTH, dtype=np.int32)), np.arange(SEGMENTS * WIDTH, dtype=np.int32).reshape(SEGMENTS, WIDTH) << WIDTH
         for b in batches:
-            words = np.stack([b.column(k).to_numpy() for k in range(WORDS)], axis=1)
-            bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little")
+            words = np.stack([b.column(k).to_numpy() for k in range(WORDS - 1)], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8 * (WORDS - 1)), axis=1, bitorder="little")
             segments = bits[:, : SEGMENTS * WIDTH].reshape(-1, SEGMENTS, WIDTH).astype(np.int32) @ power
             keys = (segments[:, :, None] & ~power[None, None, :]) | one_out[None, :, :]
             offsets = np.arange(b.num_rows + 1, dtype=np.int32) * (SEGMENTS * WIDTH)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).astype(np.int32)))
-            yield pa.record_batch([listed, b.column(0), *(b.column(k) for k in range(WORDS, b.num_columns))], names=["keys", "f0", "sig", *more])
+            yield pa.record_batch([listed, *(b.column(k) for k in range(WORDS - 1, b.num_columns))], names=["keys", "check", "sig", *more])
 
-    listed = one.select(*_FP, "sig", *more).mapInArrow(run, "keys array<int>, f0 long, sig long" + "".join(f", {c} long" for c in more))
-    return listed.select(F.explode("keys").alias("key"), "f0", "sig", *more)
+    listed = one.select(*_FP, "sig", *more).mapInArrow(run, "keys array<int>, check long, sig long" + "".join(f", {c} long" for c in more))
+    return listed.select(F.explode("keys").alias("key"), "check", "sig", *more)
 
 
 def _near(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,23 +171,20 @@ def _meet(most: int, block: int):
     """First round: near pairs of each key, a spanning star where they are many; blocks of long runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, f0, sig), number in key_runs(batches, block):
+        for (key, check, sig), number in key_runs(batches, block):
             if number is not None:
-                yield met_batch([], [], [(int(key[0]), number, np.stack([f0, sig]).tobytes())])
+                yield met_batch([], [], [(int(key[0]), number, np.stack([check, sig]).tobytes())])
                 continue
-            fp, edge = f0.view(np.uint64), run_edges(key)
+            fp, edge = check.view(np.uint64), run_edges(key)
             i, j = _near(key, fp, most)
             of = np.searchsorted(edge, i, side="right") - 1
             many = np.bincount(of, minlength=len(edge)) > DENSE
             few = ~many[of]
-            a, b = [sig[i[few]]], [sig[j[few]]]
+            yield met_batch(sig[i[few]], sig[j[few]])
             for k in np.flatnonzero(many).tolist():
                 s, e = int(edge[k]), int(edge[k + 1])
                 x, y = _stars(fp[s:e], most)
-                a.append(sig[s:e][x])
-                b.append(sig[s:e][y])
-            # A row without a and b says that a star was taken.
-            yield met_batch(np.concatenate(a), np.concatenate(b), [(int(key[edge[k]]), -1, b"") for k in np.flatnonzero(many)[:1].tolist()])
+                yield met_batch(sig[s:e][x], sig[s:e][y], number=STAR)
 
     return run
 
@@ -195,12 +193,12 @@ def _meet_again(most: int, block: int):
     """Second round: the near pairs of each key with many of them that aren't connected yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, f0, sig, comp), number in key_runs(batches, block):
+        for (key, check, sig, comp), number in key_runs(batches, block):
             if number is not None:
-                yield met_batch([], [], [(int(key[0]), number, np.stack([f0, sig, comp]).tobytes())])
+                yield met_batch([], [], [(int(key[0]), number, np.stack([check, sig, comp]).tobytes())])
                 continue
             edge = run_edges(key)
-            i, j = _near(key, f0.view(np.uint64), most)
+            i, j = _near(key, check.view(np.uint64), most)
             of = np.searchsorted(edge, i, side="right") - 1
             open_ = (np.bincount(of, minlength=len(edge)) > DENSE)[of] & (comp[i] != comp[j])
             yield met_batch(sig[i[open_]], sig[j[open_]])
@@ -236,6 +234,18 @@ def _pairs(met: DataFrame, blocks: DataFrame) -> DataFrame:
     return links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _alike(pairs: DataFrame, one: DataFrame, most: int = MOST_OF_ALL) -> DataFrame:
+    """The pairs whose whole fingerprints differ in ``most`` bits or fewer; spares reading the sets of the others."""
+    side = lambda end: one.select(F.col("sig").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in _FP))
+    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _FP), F.lit(0))
+    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b"), narrow=True)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(sig) of either side, once."""
+    return materialise(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), narrow=True)
+
+
 def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(sig, shingles) of the wanted sets, each from one of its rows."""
 
@@ -279,17 +289,18 @@ def near_components(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     rows = materialise(_fingerprints(docs, width))
     one = materialise(rows.groupBy("sig").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in _FP)))
     met = materialise(_variants(one).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(most, block), MET))
-    long_runs = met.where("number >= 0")
-    pairs = materialise(_pairs(met, block_pairs(long_runs).mapInArrow(_pair_blocks(most, False), "a long, b long")), narrow=True)
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), narrow=True)
-    sets = _sets(docs, rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))), wanted, width)
-    links = _verified(pairs, sets, similarity)
+    of_blocks = materialise(block_pairs(met).mapInArrow(_pair_blocks(most, False), "a long, b long"), narrow=True)
+    met_pairs = materialise(_pairs(met, of_blocks), narrow=True)
+    pairs, keyed = _alike(met_pairs, one), rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
+    links = _verified(pairs, _sets(docs, keyed, _ends(pairs), width), similarity)
     known = components(links).withColumnRenamed("node", "sig")
-    if not met.where("number is not null").isEmpty():
-        again = one.join(wanted, "sig").join(known, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    dense = _ends(met.where(F.col("number") == STAR).select("a", "b").unionByName(of_blocks))
+    if not dense.isEmpty():
+        again = one.join(dense, "sig").join(known, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         met = materialise(_variants(again, "component").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet_again(most, block), MET))
-        more = _pairs(met, block_pairs(met).mapInArrow(_pair_blocks(most, True), "a long, b long")).join(pairs, ["a", "b"], "left_anti")
-        known = components(links.unionByName(_verified(materialise(more, narrow=True), sets, similarity))).withColumnRenamed("node", "sig")
+        more = _pairs(met, block_pairs(met).mapInArrow(_pair_blocks(most, True), "a long, b long")).join(met_pairs, ["a", "b"], "left_anti")
+        more = _alike(materialise(more, narrow=True), one)
+        known = components(links.unionByName(_verified(more, _sets(docs, keyed, _ends(more), width), similarity))).withColumnRenamed("node", "sig")
     linked = one.select("sig", "id").join(known, "sig")
     named = linked.join(linked.groupBy("component").agg(F.min("id").alias("least")), "component").select("sig", "least")
     every = materialise(one.select("sig", "id").join(named, "sig", "left").select("sig", F.coalesce("least", "id").alias("component_id")), narrow=True)
