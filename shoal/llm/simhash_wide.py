@@ -101,8 +101,8 @@ def _fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, sig long, " + ", ".join(f"{c} long" for c in _FP))
 
 
-def _variants(one: DataFrame, *more: str) -> DataFrame:
-    """SEGMENTS x WIDTH rows a set: key = segment, which bit is left out and the rest of the segment; the last word, sig and ``more``."""
+def _variants(one: DataFrame, *kept: str) -> DataFrame:
+    """SEGMENTS x WIDTH rows a set: key = segment, which bit is left out and the rest of the segment; and the columns to be kept."""
     # key: the number of the segment and bit, before the segment's bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +114,10 @@ def _variants(one: DataFrame, *more: str) -> DataFrame:
             keys = (segments[:, :, None] & ~power[None, None, :]) | one_out[None, :, :]
             offsets = np.arange(b.num_rows + 1, dtype=np.int32) * (SEGMENTS * WIDTH)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).astype(np.int32)))
-            yield pa.record_batch([listed, *(b.column(k) for k in range(WORDS - 1, b.num_columns))], names=["keys", "check", "sig", *more])
+            yield pa.record_batch([listed, *(b.column(k) for k in range(WORDS, b.num_columns))], names=["keys", *kept])
 
-    listed = one.select(*_FP, "sig", *more).mapInArrow(run, "keys array<int>, check long, sig long" + "".join(f", {c} long" for c in more))
-    return listed.select(F.explode("keys").alias("key"), "check", "sig", *more)
+    listed = one.select(*_FP, *(F.col(c).alias(f"{c}_") for c in kept)).mapInArrow(run, "keys array<int>" + "".join(f", {c} long" for c in kept))
+    return listed.select(F.explode("keys").alias("key"), *kept)
 
 
 def _near(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,41 +189,65 @@ def _meet(most: int, block: int):
     return run
 
 
+def _nearest(fp: np.ndarray, comp: np.ndarray, most: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each place outside the largest component with the nearest that isn't connected to it and differs in ``most`` bits or fewer.
+
+    ``fp``: whole fingerprints (words, places). With ``split`` only pairs across that place.
+    """
+    n = fp.shape[1]
+    apart = np.zeros((n, n), dtype=np.int32)
+    for word in fp.view(np.uint64):
+        apart += np.bitwise_count(word[:, None] ^ word[None, :])
+    apart[comp[:, None] == comp[None, :]] = 1 << 20
+    if split is not None:
+        apart[:split, :split], apart[split:, split:] = 1 << 20, 1 << 20
+    _, of, size = np.unique(comp, return_inverse=True, return_counts=True)
+    i = np.flatnonzero(of != int(size.argmax()))
+    j = apart[i].argmin(axis=1)
+    near = apart[i, j] <= most
+    return i[near], j[near]
+
+
 def _meet_again(most: int, block: int):
-    """Second round: the near pairs of each key with many of them that aren't connected yet."""
+    """Later rounds: of each key's run, sets with the nearest that isn't connected to them yet. Columns: key, the fingerprint's words, sig, comp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, check, sig, comp), number in key_runs(batches, block):
+        for table, number in key_runs(batches, block):
             if number is not None:
-                yield met_batch([], [], [(int(key[0]), number, np.stack([check, sig, comp]).tobytes())])
+                yield met_batch([], [], [(int(table[0, 0]), number, np.ascontiguousarray(table[1:]).tobytes())])
                 continue
-            edge = run_edges(key)
-            i, j = _near(key, check.view(np.uint64), most)
-            of = np.searchsorted(edge, i, side="right") - 1
-            open_ = (np.bincount(of, minlength=len(edge)) > DENSE)[of] & (comp[i] != comp[j])
-            yield met_batch(sig[i[open_]], sig[j[open_]])
+            edge, sig, comp = run_edges(table[0]), table[-2], table[-1]
+            lowest, highest = np.minimum.reduceat(comp, edge[:-1]), np.maximum.reduceat(comp, edge[:-1])
+            a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+            for k in np.flatnonzero(lowest != highest).tolist():
+                s, e = int(edge[k]), int(edge[k + 1])
+                i, j = _nearest(np.ascontiguousarray(table[1:-2, s:e]), comp[s:e], most)
+                a.append(sig[s:e][i])
+                b.append(sig[s:e][j])
+            yield met_batch(np.concatenate(a), np.concatenate(b))
 
     return run
 
 
-def _pair_blocks(most: int, again: bool):
-    """The same for two blocks of a long run."""
+def _pair_blocks(most: int, of_all: int | None = None):
+    """The same for two blocks of a long run: of the first round, or with ``of_all`` of later ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in (r for b in batches for r in b.to_pylist()):
-            left, right = (np.frombuffer(r[c], dtype=np.int64).reshape(3 if again else 2, -1) for c in ("left", "right"))
+            left, right = (np.frombuffer(r[c], dtype=np.int64).reshape(2 if of_all is None else WORDS + 2, -1) for c in ("left", "right"))
             same = r["number"] == r["other"]
             both = left if same else np.concatenate([left, right], axis=1)
-            fp = both[0].view(np.uint64)
-            n, m = left.shape[1], 0 if same else left.shape[1]
-            near = np.bitwise_count(fp[:n, None] ^ fp[None, m:]) <= most
-            if again:
-                near &= both[2][:n, None] != both[2][None, m:]
-            i, j = np.nonzero(np.triu(near, 1) if same else near)
-            j = j + m
-            if not again and len(i) > DENSE:
-                i, j = _stars(fp, most)
-            yield pa.record_batch([pa.array(both[1][i]), pa.array(both[1][j])], names=["a", "b"])
+            sig = both[1] if of_all is None else both[-2]
+            if of_all is not None:
+                i, j = _nearest(np.ascontiguousarray(both[:-2]), both[-1], of_all, None if same else left.shape[1])
+            else:
+                fp, n, m = both[0].view(np.uint64), left.shape[1], 0 if same else left.shape[1]
+                near = np.bitwise_count(fp[:n, None] ^ fp[None, m:]) <= most
+                i, j = np.nonzero(np.triu(near, 1) if same else near)
+                j = j + m
+                if len(i) > DENSE:
+                    i, j = _stars(fp, most)
+            yield pa.record_batch([pa.array(sig[i]), pa.array(sig[j])], names=["a", "b"])
 
     return run
 
@@ -271,7 +295,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return materialise(met.where(common >= similarity * (F.size("of_a") + F.size("of_b") - common) - 1e-9).select("a", "b"))
 
 
-def near_components(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, most: int = MOST, block: int = BLOCK) -> DataFrame:
+def near_components(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, most: int = MOST, of_all: int = MOST_OF_ALL, block: int = BLOCK) -> DataFrame:
     """(doc_id, th, component_id): the least doc_id that chains of near duplicates reach, a row per row.
 
     Near duplicates are texts whose sets of ``width``-word shingles have a Jaccard
@@ -281,26 +305,31 @@ def near_components(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     others and get a component (null if nothing in it has an id); repeated rows share
     theirs. Other columns are ignored; an empty table gives an empty result.
 
-    Where a key holds many near pairs, a first round verifies a spanning star of them.
-    Most are connected then; a second round verifies all near pairs across what isn't.
+    Where a key holds many near pairs, a first round verifies a spanning star of them,
+    not all pairs of the group. Later rounds verify each text of such keys against the
+    nearest of each key that isn't connected to it, until a round finds no link.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
     n = 2 * partitions(docs.sparkSession)
     rows = materialise(_fingerprints(docs, width))
     one = materialise(rows.groupBy("sig").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in _FP)))
-    met = materialise(_variants(one).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(most, block), MET))
-    of_blocks = materialise(block_pairs(met).mapInArrow(_pair_blocks(most, False), "a long, b long"), narrow=True)
+    met = materialise(_variants(one, _FP[-1], "sig").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(most, block), MET))
+    of_blocks = materialise(block_pairs(met).mapInArrow(_pair_blocks(most), "a long, b long"), narrow=True)
     met_pairs = materialise(_pairs(met, of_blocks), narrow=True)
-    pairs, keyed = _alike(met_pairs, one), rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
+    pairs, keyed = _alike(met_pairs, one, of_all), rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
     links = _verified(pairs, _sets(docs, keyed, _ends(pairs), width), similarity)
     known = components(links).withColumnRenamed("node", "sig")
     dense = _ends(met.where(F.col("number") == STAR).select("a", "b").unionByName(of_blocks))
-    if not dense.isEmpty():
-        again = one.join(dense, "sig").join(known, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        met = materialise(_variants(again, "component").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet_again(most, block), MET))
-        more = _pairs(met, block_pairs(met).mapInArrow(_pair_blocks(most, True), "a long, b long")).join(met_pairs, ["a", "b"], "left_anti")
-        more = _alike(materialise(more, narrow=True), one)
-        known = components(links.unionByName(_verified(more, _sets(docs, keyed, _ends(more), width), similarity))).withColumnRenamed("node", "sig")
+    while not dense.isEmpty():
+        open_ = one.join(dense, "sig").join(known, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        met = materialise(_variants(open_, *_FP, "sig", "component").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet_again(of_all, block), MET), narrow=True)
+        more = _pairs(met, block_pairs(met).mapInArrow(_pair_blocks(most, of_all), "a long, b long"))
+        more = materialise(more.join(met_pairs, ["a", "b"], "left_anti"), narrow=True)
+        found = _verified(more, _sets(docs, keyed, _ends(more), width), similarity)
+        if found.isEmpty():
+            break
+        links, met_pairs = materialise(links.unionByName(found), narrow=True), materialise(met_pairs.unionByName(more), narrow=True)
+        known = components(links).withColumnRenamed("node", "sig")
     linked = one.select("sig", "id").join(known, "sig")
     named = linked.join(linked.groupBy("component").agg(F.min("id").alias("least")), "component").select("sig", "least")
     every = materialise(one.select("sig", "id").join(named, "sig", "left").select("sig", F.coalesce("least", "id").alias("component_id")), narrow=True)
