@@ -51,6 +51,18 @@ def chunks(texts: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, pa.Arr
         to = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
         yield at, texts.slice(at, to - at)
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return what was freed to the system; a worker lives on and would keep the most it ever had."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

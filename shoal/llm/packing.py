@@ -24,7 +24,7 @@ from shoal.llm._base import materialise, partitions
 from shoal.llm._words import chunks, split_words, text_column
 
 #: Bytes of text whose words are looked up together; words, and parts of words, that a worker keeps with their ids.
-CHUNK, KEPT_WORDS, KEPT_PARTS = 12_000_000, 150_000, 250_000
+CHUNK, KEPT_WORDS, KEPT_PARTS = 8_000_000, 100_000, 150_000
 
 #: Fixed value: the tokenizer's own pattern of parts, which it applies in lower case.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

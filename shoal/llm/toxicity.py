@@ -127,7 +127,7 @@ def toxicity_scorer(model: PUModel):
             return (len(hits) - 1,)
         return (0,)
 
-    table = WordTable(make, 1, limit=200_000)
+    table = WordTable(make, 1, limit=100_000)
 
     def score(texts: pa.Array) -> np.ndarray:
         out = np.full(len(texts), model.score(set()))
