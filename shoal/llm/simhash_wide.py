@@ -27,11 +27,10 @@ from shoal.llm.simhash import MET, block_pairs, key_runs, met_batch, run_edges
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Segments and their bits; how many of the 64 bits beyond them, and of all bits, may differ in two sets that are compared in full. At 0.8 about 10 and 58 do, of unlike sets 32 and 192.
-SEGMENTS, WIDTH, MOST, MOST_OF_ALL = 17, 18, 18, 88
+SEGMENTS, WIDTH, MOST, MOST_OF_ALL = 17, 18, 18, 80
 WORDS = -(-SEGMENTS * WIDTH // 64) + 1
 #: Rows of one key that are compared in one go, and near pairs of a key beyond which a first round takes a spanning star of them.
-BLOCK, DENSE = 1024, 10
-STAR = -1  # marks the pairs of such stars
+BLOCK, DENSE = 1024, 3
 
 _step = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
@@ -184,7 +183,7 @@ def _meet(most: int, block: int):
             for k in np.flatnonzero(many).tolist():
                 s, e = int(edge[k]), int(edge[k + 1])
                 x, y = _stars(fp[s:e], most)
-                yield met_batch(sig[s:e][x], sig[s:e][y], number=STAR)
+                yield met_batch(sig[s:e][x], sig[s:e][y])
 
     return run
 
@@ -271,20 +270,20 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sig, shingles) of the wanted sets, each from one of its rows."""
+    """(sig, shingles) of the wanted sets, each from one of its rows; of a shingle's hash 32 bits, which halves what is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in _parts(b, 1)):
             sets = list(shingle_sets(part.column(1), width))
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            flat = np.concatenate([*sets, np.empty(0, dtype=np.uint64)]).view(np.int64)
+            flat = np.concatenate([*sets, np.empty(0, dtype=np.uint64)]).astype(np.uint32).view(np.int32)
             yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["sig", "shingles"])
 
     # The least doc_id and hash stand for a set, so that of a hot group of copies one row is read.
     least = rows.join(wanted, "sig").groupBy("sig").agg(F.min("id").alias("id"))
     chosen = materialise(rows.join(least, ["sig", "id"]).groupBy("sig", "id").agg(F.min("th").alias("th")), narrow=True)
     texts = docs.select("id", F.xxhash64("text").alias("th"), "text").join(chosen, ["id", "th"]).dropDuplicates(["sig"]).select("sig", "text")
-    return materialise(texts.mapInArrow(run, "sig long, shingles array<long>"))
+    return materialise(texts.mapInArrow(run, "sig long, shingles array<int>"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -292,7 +291,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     side = lambda end: sets.select(F.col("sig").alias(end), F.col("shingles").alias(f"of_{end}"))
     common = F.size(F.array_intersect("of_a", "of_b"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return materialise(met.where(common >= similarity * (F.size("of_a") + F.size("of_b") - common) - 1e-9).select("a", "b"))
+    return materialise(met.where(common >= similarity * (F.size("of_a") + F.size("of_b") - common) - 1e-9).select("a", "b"), narrow=True)
 
 
 def near_components(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, most: int = MOST, of_all: int = MOST_OF_ALL, block: int = BLOCK) -> DataFrame:
@@ -306,22 +305,21 @@ def near_components(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     theirs. Other columns are ignored; an empty table gives an empty result.
 
     Where a key holds many near pairs, a first round verifies a spanning star of them,
-    not all pairs of the group. Later rounds verify each text of such keys against the
-    nearest of each key that isn't connected to it, until a round finds no link.
+    not all pairs of the group. Later rounds verify each text with a candidate against
+    the nearest of each key that isn't connected to it, until a round finds no link.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
     n = 2 * partitions(docs.sparkSession)
     rows = materialise(_fingerprints(docs, width))
     one = materialise(rows.groupBy("sig").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in _FP)))
     met = materialise(_variants(one, _FP[-1], "sig").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(most, block), MET))
-    of_blocks = materialise(block_pairs(met).mapInArrow(_pair_blocks(most), "a long, b long"), narrow=True)
-    met_pairs = materialise(_pairs(met, of_blocks), narrow=True)
+    met_pairs = materialise(_pairs(met, block_pairs(met).mapInArrow(_pair_blocks(most), "a long, b long")), narrow=True)
     pairs, keyed = _alike(met_pairs, one, of_all), rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
     links = _verified(pairs, _sets(docs, keyed, _ends(pairs), width), similarity)
     known = components(links).withColumnRenamed("node", "sig")
-    dense = _ends(met.where(F.col("number") == STAR).select("a", "b").unionByName(of_blocks))
-    while not dense.isEmpty():
-        open_ = one.join(dense, "sig").join(known, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    candidates = _ends(pairs)
+    while not candidates.isEmpty():
+        open_ = one.join(candidates, "sig").join(known, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         met = materialise(_variants(open_, *_FP, "sig", "component").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet_again(of_all, block), MET), narrow=True)
         more = _pairs(met, block_pairs(met).mapInArrow(_pair_blocks(most, of_all), "a long, b long"))
         more = materialise(more.join(met_pairs, ["a", "b"], "left_anti"), narrow=True)
