@@ -266,7 +266,8 @@ def _alike(pairs: DataFrame, one: DataFrame, most: int = MOST_OF_ALL) -> DataFra
 
 def _ends(pairs: DataFrame) -> DataFrame:
     """(sig) of either side, once."""
-    return materialise(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), narrow=True)
+    side = lambda c: pairs.select(F.col(c).alias("sig")).distinct()  # noqa: E731  a centre of many pairs is one row a task
+    return materialise(side("a").unionByName(side("b")).distinct(), narrow=True)
 
 
 def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
