@@ -223,7 +223,8 @@ def _meet_again(most: int, block: int):
                 i, j = _nearest(np.ascontiguousarray(table[1:-2, s:e]), comp[s:e], most)
                 a.append(sig[s:e][i])
                 b.append(sig[s:e][j])
-            yield met_batch(np.concatenate(a), np.concatenate(b))
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield met_batch(*np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))  # two may be each other's nearest, under several keys
 
     return run
 
