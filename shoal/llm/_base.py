@@ -18,11 +18,15 @@ def work_dir(spark: SparkSession) -> str:
     """A fresh path in the folder all executors share.
 
     The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset (tests on one machine) a temporary folder takes its place.
+    unset on one machine (tests) a temporary folder takes its place; on a cluster
+    that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _own_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="shoal-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        root = _own_dirs[app] = _own_dirs.get(app) or tempfile.mkdtemp(prefix="shoal-")
     return f"{root.rstrip('/')}/shoal-{uuid.uuid4().hex}"
 
 
