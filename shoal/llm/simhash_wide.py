@@ -31,6 +31,8 @@ SEGMENTS, WIDTH, MOST, MOST_OF_ALL = 17, 18, 18, 80
 WORDS = -(-SEGMENTS * WIDTH // 64) + 1
 #: Rows of one key that are compared in one go, and near pairs of a key beyond which a first round takes a spanning star of them.
 BLOCK, DENSE = 1024, 3
+#: Segments whose keys come first; those of the others then meet with what these have linked.
+FIRST = 4
 
 _step = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
@@ -100,8 +102,8 @@ def _fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, sig long, " + ", ".join(f"{c} long" for c in _FP))
 
 
-def _variants(one: DataFrame, *kept: str) -> DataFrame:
-    """SEGMENTS x WIDTH rows a set: key = segment, which bit is left out and the rest of the segment; and the columns to be kept."""
+def _variants(one: DataFrame, *kept: str, segments: range = range(SEGMENTS)) -> DataFrame:
+    """WIDTH rows a segment and set: key = segment, which bit is left out and the rest of the segment; and the columns to be kept."""
     # key: the number of the segment and bit, before the segment's bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +111,9 @@ def _variants(one: DataFrame, *kept: str) -> DataFrame:
         for b in batches:
             words = np.stack([b.column(k).to_numpy() for k in range(WORDS - 1)], axis=1)
             bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8 * (WORDS - 1)), axis=1, bitorder="little")
-            segments = bits[:, : SEGMENTS * WIDTH].reshape(-1, SEGMENTS, WIDTH).astype(np.int32) @ power
-            keys = (segments[:, :, None] & ~power[None, None, :]) | one_out[None, :, :]
-            offsets = np.arange(b.num_rows + 1, dtype=np.int32) * (SEGMENTS * WIDTH)
+            values = bits[:, : SEGMENTS * WIDTH].reshape(-1, SEGMENTS, WIDTH)[:, segments.start : segments.stop].astype(np.int32) @ power
+            keys = (values[:, :, None] & ~power[None, None, :]) | one_out[None, segments.start : segments.stop, :]
+            offsets = np.arange(b.num_rows + 1, dtype=np.int32) * (len(segments) * WIDTH)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).astype(np.int32)))
             yield pa.record_batch([listed, *(b.column(k) for k in range(WORDS, b.num_columns))], names=["keys", *kept])
 
@@ -188,23 +190,71 @@ def _meet(most: int, block: int):
     return run
 
 
-def _nearest(fp: np.ndarray, comp: np.ndarray, most: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Each place outside the largest component with the nearest that isn't connected to it and differs in ``most`` bits or fewer.
+def _nearest(fp: np.ndarray, comp: np.ndarray, most: int, split: int | None = None, left_out: int | None = None, centred: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Each place outside the largest component with the nearest that isn't connected to it, and if ``centred`` with the medoid of the largest, that differ in ``most`` bits or fewer.
 
     ``fp``: whole fingerprints (words, places). With ``split`` only pairs across that place.
+    ``left_out`` is the bit that a whole run's key leaves out. Sets that agree in it, too, meet
+    under every bit of the segment: what those give among themselves is given under the
+    segment's first bit, and not again under the others.
     """
     n = fp.shape[1]
     apart = np.zeros((n, n), dtype=np.int32)
     for word in fp.view(np.uint64):
         apart += np.bitwise_count(word[:, None] ^ word[None, :])
+    whole = apart.copy()
     apart[comp[:, None] == comp[None, :]] = 1 << 20
     if split is not None:
         apart[:split, :split], apart[split:, split:] = 1 << 20, 1 << 20
-    _, of, size = np.unique(comp, return_inverse=True, return_counts=True)
-    i = np.flatnonzero(of != int(size.argmax()))
-    j = apart[i].argmin(axis=1)
-    near = apart[i, j] <= most
-    return i[near], j[near]
+
+    def tied(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs among some places."""
+        _, of, size = np.unique(comp[at], return_inverse=True, return_counts=True)
+        main = of == int(size.argmax())
+        i, centre = at[~main], at[main][whole[np.ix_(at[main], at)].sum(axis=1).argmin()]
+        j = np.stack([at[apart[np.ix_(i, at)].argmin(axis=1)], np.full(len(i), centre)])
+        j = j if centred else j[:1]
+        k, near = np.broadcast_to(i, j.shape), apart[i, j] <= most
+        return k[near], j[near]
+
+    i, j = tied(np.arange(n))
+    if left_out is None:
+        return i, j
+    bit = (fp[left_out // 64] >> (left_out % 64)) & 1
+    agree = [tied(at) for at in (np.flatnonzero(bit == v) for v in (0, 1)) if len(at)]
+    x, y = (np.concatenate(c) for c in zip(*agree))
+    if left_out % WIDTH == 0:
+        return np.concatenate([i, x]), np.concatenate([j, y])
+    new = ~np.isin(i * n + j, x * n + y)
+    return i[new], j[new]
+
+
+def _meet_rest(most: int, block: int):
+    """The first round's other segments: near pairs of each key that aren't connected yet, where they are many each set with the nearest. Columns: key, the word beyond the segments, sig, comp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, number in key_runs(batches, block):
+            if number is not None:
+                yield met_batch([], [], [(int(table[0, 0]), number, np.ascontiguousarray(table[1:]).tobytes())])
+                continue
+            key, fp, sig, comp = table
+            edge = run_edges(key)
+            i, j = _near(key, fp.view(np.uint64), most)
+            apart = comp[i] != comp[j]
+            i, j = i[apart], j[apart]
+            of = np.searchsorted(edge, i, side="right") - 1
+            many = np.bincount(of, minlength=len(edge)) > DENSE
+            few = ~many[of]
+            a, b = [sig[i[few]]], [sig[j[few]]]
+            for k in np.flatnonzero(many).tolist():
+                s, e = int(edge[k]), int(edge[k + 1])
+                x, y = _nearest(np.ascontiguousarray(fp[None, s:e]), comp[s:e], most, centred=False)
+                a.append(sig[s:e][x])
+                b.append(sig[s:e][y])
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield met_batch(*np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+
+    return run
 
 
 def _meet_again(most: int, block: int):
@@ -220,7 +270,7 @@ def _meet_again(most: int, block: int):
             a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
             for k in np.flatnonzero(lowest != highest).tolist():
                 s, e = int(edge[k]), int(edge[k + 1])
-                i, j = _nearest(np.ascontiguousarray(table[1:-2, s:e]), comp[s:e], most)
+                i, j = _nearest(np.ascontiguousarray(table[1:-2, s:e]), comp[s:e], most, left_out=int(table[0, s]) >> WIDTH)
                 a.append(sig[s:e][i])
                 b.append(sig[s:e][j])
             a, b = np.concatenate(a), np.concatenate(b)
@@ -229,12 +279,12 @@ def _meet_again(most: int, block: int):
     return run
 
 
-def _pair_blocks(most: int, of_all: int | None = None):
-    """The same for two blocks of a long run: of the first round, or with ``of_all`` of later ones."""
+def _pair_blocks(most: int, of_all: int | None = None, words: int = WORDS):
+    """The same for two blocks of a long run: of the first round, or with ``of_all`` bits of ``words`` words of later ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in (r for b in batches for r in b.to_pylist()):
-            left, right = (np.frombuffer(r[c], dtype=np.int64).reshape(2 if of_all is None else WORDS + 2, -1) for c in ("left", "right"))
+            left, right = (np.frombuffer(r[c], dtype=np.int64).reshape(2 if of_all is None else words + 2, -1) for c in ("left", "right"))
             same = r["number"] == r["other"]
             both = left if same else np.concatenate([left, right], axis=1)
             sig = both[1] if of_all is None else both[-2]
@@ -307,19 +357,29 @@ def near_components(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     theirs. Other columns are ignored; an empty table gives an empty result.
 
     Where a key holds many near pairs, a first round verifies a spanning star of them,
-    not all pairs of the group. Later rounds verify each text with a candidate against
+    not all pairs of the group; it takes FIRST segments, and of the others' near pairs
+    those that aren't connected then. Later rounds verify each text with a candidate against
     the nearest of each key that isn't connected to it, until a round finds no link.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
     n = 2 * partitions(docs.sparkSession)
     rows = materialise(_fingerprints(docs, width))
     one = materialise(rows.groupBy("sig").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in _FP)))
-    met = materialise(_variants(one, _FP[-1], "sig").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(most, block), MET))
-    met_pairs = materialise(_pairs(met, block_pairs(met).mapInArrow(_pair_blocks(most), "a long, b long")), narrow=True)
-    pairs, keyed = _alike(met_pairs, one, of_all), rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
+    keyed, ends = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))), "a long, b long"
+    met = materialise(_variants(one, _FP[-1], "sig", segments=range(FIRST)).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(most, block), MET))
+    first = materialise(_pairs(met, block_pairs(met).mapInArrow(_pair_blocks(most), ends)), narrow=True)
+    pairs = _alike(first, one, of_all)
     links = _verified(pairs, _sets(docs, keyed, _ends(pairs), width), similarity)
     known = components(links).withColumnRenamed("node", "sig")
-    candidates = _ends(pairs)
+    open_ = one.select("sig", *_FP).join(known, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    met = materialise(_variants(open_, _FP[-1], "sig", "component", segments=range(FIRST, SEGMENTS)).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet_rest(most, block), MET))
+    rest = _pairs(met, block_pairs(met).mapInArrow(_pair_blocks(most, most, 1), ends)).join(first, ["a", "b"], "left_anti")
+    rest = materialise(rest, narrow=True)
+    met_pairs, alike = first.unionByName(rest), _alike(rest, one, of_all)
+    found = _verified(alike, _sets(docs, keyed, _ends(alike), width), similarity)
+    links = materialise(links.unionByName(found), narrow=True)
+    known = components(links).withColumnRenamed("node", "sig")
+    candidates = _ends(met_pairs)
     while not candidates.isEmpty():
         open_ = one.join(candidates, "sig").join(known, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         met = materialise(_variants(open_, *_FP, "sig", "component").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet_again(of_all, block), MET), narrow=True)

@@ -129,3 +129,20 @@ def test_stage_drops_lightly_edited_copies(spark):
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited(rng, base, 4)))]
     out = dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {r.doc_id for r in out.collect()} == {i for i, c in brute(rows) if i == c} == set(range(0, 40, 2))
+
+
+def test_candidates_of_one_large_group_are_few(spark, monkeypatch):
+    """Each copy is a candidate some ten times, not under each of its 306 keys."""
+    rng, made, keep = random.Random(6), [], simhash_wide.materialise
+    base = [f"u{rng.randrange(9000)}" for _ in range(150)]
+    rows = [(k, " ".join(edited(rng, base, 1 + k % 3) if k else base)) for k in range(300)]
+
+    def counted(df, narrow=False):
+        out = keep(df, narrow)
+        if out.columns == ["a", "b", "key", "number", "block"]:
+            made.append(out.where("a IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(simhash_wide, "materialise", counted)
+    assert sum(c == 0 for _, c in found(spark, rows)) >= 0.98 * 300
+    assert sum(made) < 25_000, made
