@@ -28,3 +28,12 @@ def test_a_token_of_all_accounts_that_is_too_weak_by_itself(spark):
     few = spark.createDataFrame([(5, 1), (39_999, 1), (6, 2), (8, 2)], "account long, tag long")
     assert sorted(map(tuple, pairs.shared([(few, 3, 1), (every, 2, 1)], 4).collect())) == [(5, 39_999, 5), (6, 8, 5)]
     assert pairs.shared([(few.limit(0), 3, 1), (every, 2, 1)], 4).count() == 0
+
+
+@pytest.mark.parametrize("weak,strong", [(2, 6), (4, 4), (6, 2)])
+def test_prune_by_weight_and_sparse_ends(spark, weak, strong):
+    e = [(a, b, w) for w, (a, b) in enumerate((a, b) for a in range(4) for b in range(a + 1, 4))] + [(0, 1, 9), (2, 3, 3)]
+    got = graph.adaptive_prune(spark.createDataFrame(e, "src long, dst long, weight long"), spark.createDataFrame([(0,), (1,), (2,), (1,)], "account long"), weak, strong)
+    assert sorted(map(tuple, got.collect())) == sorted(x for x in e if x[2] >= (weak if max(x[:2]) < 3 else strong))
+    if weak < strong:  # edges of the upper weight take no part in the join
+        assert "weight#" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "Union" in plan and "LeftOuter" not in plan
