@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm._base import distinct_texts, held_out, pick
+from shoal.llm._base import distinct_texts, held_out, materialise
 from shoal.llm._words import WordTable, chunks, split_words, sums, text_column
 
-#: Labelled texts learnt from (bounds the training sample only), pairs drawn from them, score at the threshold.
-SAMPLE, PAIRS, CUT = 8000, 60_000, 0.3
+#: Texts of the rarer label that are compared with all of a bucket's others, texts of a package, bins of a pass over the scores, score at the threshold.
+RARER, PACKAGE, BINS, CUT = 32, 4096, 4096, 0.3
+DECAY = 1e-3
 
 
 def _shape(word: str) -> tuple:
@@ -56,47 +57,168 @@ class RankModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * (raw - self.threshold) + np.log(CUT / (1 - CUT)), -40, 40)))
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, steps: int = 400, rate: float = 0.05, decay: float = 1e-3, seed: int = 5) -> RankModel:
-    """Learn from pairs of a good and a bad document; without both kinds all score alike.
+#: From a function of a package (features of good and of bad texts) the sum of its arrays over all packages.
+Total = Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray]
 
-    The threshold is the quantile of the scores at the share of bad documents.
+
+def _moments(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """How many texts are good and bad, and the sums of their features."""
+    both = np.concatenate([good, bad])
+    return np.concatenate([[len(good), len(bad)], both.sum(axis=0)])
+
+
+def _loss(w: np.ndarray, mean: np.ndarray, scale: np.ndarray):
+    """Pairs, logistic loss of their differences, its gradient and its curvature, over all pairs of a package."""
+
+    def run(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+        d, out = len(w), np.zeros(2 + len(w) + len(w) ** 2)
+        g, b = (good - mean) / scale, (bad - mean) / scale
+        for row in g if len(g) <= len(b) else b:
+            diff = row - b if len(g) <= len(b) else g - row
+            m = np.clip(diff @ w, -40, 40)
+            p = 1 / (1 + np.exp(m))
+            out[0] += len(m)
+            out[1] += np.logaddexp(0, -m).sum()
+            out[2 : 2 + d] -= diff.T @ p
+            out[2 + d :] += ((diff * (p * (1 - p))[:, None]).T @ diff).reshape(-1)
+        return out
+
+    return run
+
+
+def _at_ranks(total: Total, scores: Callable, kinds: list[str], ranks: list[float], low: float, high: float) -> list[float]:
+    """The scores of those ranks among all ('all') or the 'good' or 'bad' texts: bins over bins, until they are as fine as the numbers."""
+    bounds = [(low, high)] * len(ranks)
+    for _ in range(4):
+        now = list(bounds)
+
+        def count(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+            g, b, out = scores(good), scores(bad), []
+            for kind, (x, y) in zip(kinds, now):
+                v = g if kind == "good" else b if kind == "bad" else np.concatenate([g, b])
+                at = np.clip(np.floor((v - x) / max(y - x, 1e-300) * BINS), -1, BINS).astype(np.int64) + 1
+                out.append(np.bincount(at, minlength=BINS + 2))
+            return np.stack(out).astype(float)
+
+        for k, n in enumerate(total(count)):
+            x, y = now[k]
+            at = int(np.searchsorted(np.cumsum(n), ranks[k], side="right"))
+            at = min(max(at - 1, 0), BINS - 1)
+            bounds[k] = (x + (y - x) * at / BINS, x + (y - x) * (at + 1) / BINS)
+    return [(x + y) / 2 for x, y in bounds]
+
+
+def fit(total: Total, width: int, steps: int = 30) -> RankModel:
+    """Learn from pairs of a good and a bad document, all packages' whole; without both kinds all score alike.
+
+    Newton's method on the mean logistic loss, ridged. The threshold is the quantile of
+    all scores at the share of bad documents.
     """
-    width = x.shape[1]
-    mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(width), np.ones(width))
-    z, w = (x - mean) / scale, np.zeros(width)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        return RankModel(mean, scale, w, 0.0 if len(bad) == 0 else 1.0, 1.0)
-    rng = np.random.default_rng(seed)
-    diff = (z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]).astype(np.float32)
-    m, v = np.zeros(width), np.zeros(width)
-    for step in range(1, steps + 1):
-        part = diff[rng.integers(0, pairs, 4096)]
-        grad = -(part.T @ (1 / (1 + np.exp(np.clip(part @ w, -40, 40))))) / len(part) + decay * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    raw = z @ w
-    level = len(bad) / len(y)
-    around = np.quantile(raw, [max(0.0, level - 0.005), min(1.0, level + 0.005)])  # in the middle of the gap, if there is one
-    return RankModel(mean, scale, w, float(around.mean()), float(2.0 / (np.median(raw[good]) - np.median(raw[bad]) + 1e-6) * 3))
-
-
-def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RankModel:
-    """Learn from labelled documents whose fold isn't held out; equal texts count once."""
-    texts = distinct_texts(docs, labels, "quality")
-    chosen = pick(docs, texts.where(F.col("y").isNotNull()).orderBy("h").limit(sample))
+    first = total(_moments)
+    n_good, n_bad = int(first[0]), int(first[1])
+    n = n_good + n_bad
+    mean = first[2:] / max(n, 1)
+    scale = np.sqrt(total(lambda g, b: ((np.concatenate([g, b]) - mean) ** 2).sum(axis=0)) / n) + 1e-6 if n else np.ones(width)
+    w = np.zeros(width)
+    if not n_good or not n_bad:
+        return RankModel(mean, scale, w, 0.0 if n_bad == 0 else 1.0, 1.0)
+    step, best, at = np.zeros(width), np.inf, w
+    for _ in range(steps):
+        s = total(_loss(w, mean, scale))
+        loss = s[1] / s[0] + DECAY * w @ w / 2
+        if loss > best:  # too far: halve the step
+            step = step / 2
+            if np.abs(step).max() < 1e-6:
+                break
+            w = at + step
+            continue
+        grad = s[2 : 2 + width] / s[0] + DECAY * w
+        step = -np.linalg.solve(s[2 + width :].reshape(width, width) / s[0] + DECAY * np.eye(width), grad)
+        at, best = w, loss
+        if np.abs(step).max() < 1e-6:
+            break
+        w = at + step
+    w = at
+    scores = lambda x: (x - mean) / scale @ w
+    reach = lambda g, b: np.concatenate([scores(g), scores(b)])
+    span = 1 + float(total(lambda g, b: np.abs(reach(g, b)).sum(keepdims=True))[0])
+    level = n_bad / n
+    ranks = [max(0.0, level - 0.005) * (n - 1), min(1.0, level + 0.005) * (n - 1), (n_good - 1) / 2, (n_bad - 1) / 2]
+    least, most, good, bad = _at_ranks(total, scores, ["all", "all", "good", "bad"], ranks, -span, span)
+    return RankModel(mean, scale, w, (least + most) / 2, float(2.0 / (good - bad + 1e-6) * 3))  # in the middle of the gap, if there is one
+
+
+def _packages(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Good and bad texts of one bucket in bounded packages, each text in just one, the rarer label spread over all."""
+    good, bad = x[y == 1], x[y == 0]
+    parts = max(1, min(-(-len(x) // PACKAGE), min(len(good), len(bad))))
+    for k in range(parts):
+        yield good[k::parts], bad[k::parts]
+
+
+def fit_pairs(x: np.ndarray, y: np.ndarray) -> RankModel:
+    """``fit`` of features at hand."""
+    parts = list(_packages(x, y))
+    return fit(lambda f: np.sum([f(g, b) for g, b in parts], axis=0), x.shape[1])
+
+
+def train_quality(docs: DataFrame, labels: DataFrame) -> RankModel:
+    """Learn from all labelled documents whose fold isn't held out; equal texts count once.
+
+    Features are written once, in buckets that hold some RARER texts of the rarer label:
+    each good text is compared with each bad one of its package. Each step is a pass over
+    the packages; only sums reach the driver.
+    """
+    chosen = distinct_texts(docs, labels, "quality").where(F.col("y").isin(0, 1))
+    counts = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    buckets = max(1, min(counts.get(0, 0), counts.get(1, 0)) // RARER)
+    wanted = chosen.select("doc_id", "y", F.pmod("h", F.lit(buckets)).alias("bucket"), F.col("h").alias("order"))
+    width = feature_matrix(pa.array([""]), WordTable(_shape, 10)).shape[1]
+    # A repeated doc_id may have other texts: the one with the hash is meant.
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("order", F.xxhash64("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(_shape, 10)
         for b in batches:
-            for first, part in chunks(text_column(b.column(1))):
+            for first, part in chunks(text_column(b.column(0))):
                 x = feature_matrix(part, table)
-                yield pa.record_batch([b.column(0).slice(first, len(part)).cast(pa.int64()), b.column(2).slice(first, len(part)).cast(pa.int32()), pa.array([r.tobytes() for r in x], type=pa.binary())], names=["doc_id", "y", "x"])
-
-    rows = sorted(chosen.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, x binary").collect(), key=lambda r: r["doc_id"])
-    width = feature_matrix(pa.array([""]), WordTable(_shape, 10)).shape[1]
-    x = np.array([np.frombuffer(bytes(r["x"])) for r in rows]).reshape(-1, width)
-    return fit_pairs(x, np.array([r["y"] for r in rows]))
+                yield pa.record_batch([*(b.column(k).slice(first, len(part)) for k in (1, 2, 3)), pa.array([r.tobytes() for r in x], type=pa.binary())], names=["bucket", "order", "y", "x"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(x: list, y: list) -> Iterator[pa.RecordBatch]:
+            for g, b in _packages(np.frombuffer(b"".join(x)).reshape(-1, width), np.array(y)):
+                yield pa.record_batch([pa.array([g.tobytes()], type=pa.binary()), pa.array([b.tobytes()], type=pa.binary())], names=["good", "bad"])
+
+        key, x, y = None, [], []
+        for r in ((b.column(0)[i].as_py(), b.column(2)[i].as_py(), b.column(3)[i].as_py()) for b in batches for i in range(b.num_rows)):
+            if r[0] != key and x:
+                yield from out(x, y)
+                x, y = [], []
+            key = r[0]
+            x.append(r[2])
+            y.append(r[1])
+        if x:
+            yield from out(x, y)
+
+    rows = texts.join(wanted, ["doc_id", "order"]).dropDuplicates(["order"]).select("text", "bucket", "order", F.col("y").cast("int").alias("y"))
+    rows = rows.mapInArrow(features, "bucket long, order long, y int, x binary").repartition("bucket").sortWithinPartitions("bucket", "order")
+    packages = materialise(rows.mapInArrow(packed, "good binary, bad binary"), narrow=True)
+
+    def total(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done = None
+            for b in batches:
+                for g, z in zip(b.column(0), b.column(1)):
+                    one = np.asarray(f(*(np.frombuffer(v.as_py()).reshape(-1, width) for v in (g, z))))
+                    done = one if done is None else done + one
+            if done is not None:
+                yield pa.record_batch([pa.array([done.tobytes()], type=pa.binary())], names=["sum"])
+
+        parts = [np.frombuffer(bytes(r["sum"])) for r in packages.mapInArrow(run, "sum binary").collect()]  # a row a task
+        empty = np.asarray(f(np.empty((0, width)), np.empty((0, width))))
+        return np.sum(parts, axis=0).reshape(empty.shape) if parts else empty
+
+    return fit(total, width)
 
 
 def score_quality(docs: DataFrame, model: RankModel) -> DataFrame:
