@@ -7,10 +7,13 @@ that ``docs`` has.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm._base import fresh, materialise
+from shoal.llm._base import fresh, gathered, materialise
 from shoal.llm.decontam import drop_leaks
 from shoal.llm.linedup import edit_lines
 from shoal.llm.packing import pack_documents
@@ -19,11 +22,23 @@ from shoal.llm.simhash_wide import near_components
 from shoal.llm.toxicity import drop_toxic, train_toxicity
 
 
+def few_files(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with its result in some two partitions a core, whoever writes it."""
+
+    @wraps(stage)
+    def gathered_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return gathered(stage(spark, docs, sf_dir))
+
+    return gathered_stage
+
+
+@few_files
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return drop_toxic(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@few_files
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that repeat an earlier document go from the text; every document stays.
 
@@ -37,6 +52,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@few_files
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of smallest doc_id stays.
 
@@ -53,11 +69,13 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, on, "left_anti")
 
 
+@few_files
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds a benchmark item go, with or without doc_id; other rows of the same doc_id stay."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@few_files
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_path())
 

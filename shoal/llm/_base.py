@@ -30,21 +30,28 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/shoal-{uuid.uuid4().hex}"
 
 
+def gathered(df: DataFrame, a_core: int = 2) -> DataFrame:
+    """``df`` in at most some ``a_core`` partitions a core, so that it is written to as many files.
+
+    A file for each partition may be thousands of tiny ones, and each costs the file
+    system, and the executor that opens it, more than its rows: Hadoop's local file
+    system starts processes from the executor for each. A task then goes through
+    several partitions one after the other.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(a_core * spark.sparkContext.defaultParallelism, partitions(spark) * a_core // 32))
+
+
 def materialise(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     Lost executors then cost no recomputation of what lies before, and several
     readers share one computation. At most some eight files a core are written, or
-    two of a ``narrow`` table (a few numbers a row): a file for each partition may be
-    thousands of tiny ones, and each costs the file system, and the executor that
-    opens it, more than its rows. A task then goes through several partitions one
-    after the other, so it needs no more memory.
+    two of a ``narrow`` table (a few numbers a row).
     """
-    spark = df.sparkSession
-    path, cores = work_dir(spark), spark.sparkContext.defaultParallelism
-    files = max(2 * cores, partitions(spark) // 16) if narrow else max(8 * cores, partitions(spark) // 4)
-    df.coalesce(files).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = work_dir(df.sparkSession)
+    gathered(df, 2 if narrow else 8).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

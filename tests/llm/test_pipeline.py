@@ -128,3 +128,12 @@ def test_extra_columns_pass_through(spark, planted):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.where("score <> 1 or partners <> 'x' or removed_lines <> 2 or component_id <> 3").count() == 0, name
+
+
+def test_results_come_in_few_partitions(spark):
+    """Each file that is written starts processes from the executor that writes it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300).repartition(60)
+    most = 2 * spark.sparkContext.defaultParallelism
+    for name in ("toxicity", "line dedup", "benchmark decontamination"):
+        out = STAGES[name](spark, docs, SF)
+        assert out.rdd.getNumPartitions() <= most, name
