@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.llm._base import materialise, partitions
+from shoal.llm._base import gathered, partitions
 
 #: Characters of the text that lead the sort order, and sampled rows for each range.
 LEAD, SAMPLES_PER_RANGE = 64, 40
@@ -68,7 +68,9 @@ def exact_duplicates(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         .drop("norm", "starts")
     )
     runs = Window.partitionBy("range", "run")
-    in_range = materialise(
+    # Read twice, not written: both readers share the shuffle and sort what it holds again, which costs less than
+    # a table does. Each file of one starts processes from an executor.
+    in_range = (
         placed.withColumn("keep", F.min("doc_id").over(runs))
         .withColumn("size", F.count(F.lit(1)).over(runs))
         .withColumn("edge", (F.col("run") == 1) | F.max("last").over(runs))
@@ -81,7 +83,7 @@ def exact_duplicates(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         .where("n > 1").drop("n")
     )
     keep = F.coalesce("all_keep", "keep")
-    return (
+    return gathered(
         in_range.join(F.broadcast(joined), "sha", "left")
         .select("doc_id", keep.alias("keep_id"), F.coalesce("all_size", "size").alias("group_size"),
                 F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"), F.col("sha").alias("text_sha256"))
