@@ -168,6 +168,21 @@ def _stars(fp: np.ndarray, most: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
+def _marked(a: np.ndarray, b: np.ndarray, some_left: np.ndarray) -> pa.RecordBatch:
+    """Rows of MET; ``number`` is 0 for pairs with an end of which the key holds a near pair that isn't given, else null."""
+    batch = met_batch(a, b)
+    return batch.set_column(3, "number", pa.array(np.zeros(len(a), dtype=np.int32), mask=~some_left))
+
+
+def _some_left(n: int, near: tuple[np.ndarray, np.ndarray], given: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each given pair of ``n`` places whether one of its ends has more near pairs than given ones. The near pairs are distinct, the given ones may repeat."""
+    a, b = np.asarray(given[0], dtype=np.int64), np.asarray(given[1], dtype=np.int64)
+    once = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+    ends = lambda x, y: np.bincount(x, minlength=n) + np.bincount(y, minlength=n)
+    left = ends(*near) > ends(once // n, once % n)
+    return left[a] | left[b]
+
+
 def _meet(most: int, block: int):
     """First round: near pairs of each key, a spanning star where they are many; blocks of long runs."""
 
@@ -185,7 +200,7 @@ def _meet(most: int, block: int):
             for k in np.flatnonzero(many).tolist():
                 s, e = int(edge[k]), int(edge[k + 1])
                 x, y = _stars(fp[s:e], most)
-                yield met_batch(sig[s:e][x], sig[s:e][y])
+                yield _marked(sig[s:e][x], sig[s:e][y], _some_left(e - s, (i[of == k] - s, j[of == k] - s), (x, y)))
 
     return run
 
@@ -245,14 +260,16 @@ def _meet_rest(most: int, block: int):
             of = np.searchsorted(edge, i, side="right") - 1
             many = np.bincount(of, minlength=len(edge)) > DENSE
             few = ~many[of]
-            a, b = [sig[i[few]]], [sig[j[few]]]
+            a, b, left = [sig[i[few]]], [sig[j[few]]], [np.zeros(int(few.sum()), dtype=bool)]
             for k in np.flatnonzero(many).tolist():
                 s, e = int(edge[k]), int(edge[k + 1])
                 x, y = _nearest(np.ascontiguousarray(fp[None, s:e]), comp[s:e], most, centred=False)
                 a.append(sig[s:e][x])
                 b.append(sig[s:e][y])
+                left.append(_some_left(e - s, (i[of == k] - s, j[of == k] - s), (x, y)))
             a, b = np.concatenate(a), np.concatenate(b)
-            yield met_batch(*np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+            a, b, left = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), np.concatenate(left)]), axis=1)
+            yield _marked(a, b, left.astype(bool))
 
     return run
 
@@ -308,6 +325,12 @@ def _pairs(met: DataFrame, blocks: DataFrame) -> DataFrame:
     return links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _unsettled(met: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(sig) of sets with a near pair that a first round's key has left out; of blocks all, as a block doesn't see the others."""
+    links = met.where("a IS NOT NULL AND number IS NOT NULL").select("a", "b").unionByName(blocks)
+    return _ends(links.where("a != b"))
+
+
 def _alike(pairs: DataFrame, one: DataFrame, most: int = MOST_OF_ALL) -> DataFrame:
     """The pairs whose whole fingerprints differ in ``most`` bits or fewer; spares reading the sets of the others."""
     side = lambda end: one.select(F.col("sig").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in _FP))
@@ -358,8 +381,10 @@ def near_components(docs: DataFrame, width: int = SHINGLE, similarity: float = S
 
     Where a key holds many near pairs, a first round verifies a spanning star of them,
     not all pairs of the group; it takes FIRST segments, and of the others' near pairs
-    those that aren't connected then. Later rounds verify each text with a candidate against
-    the nearest of each key that isn't connected to it, until a round finds no link.
+    those that aren't connected then. Later rounds take the texts of which a key has left out
+    a near pair, and those of pairs that all bits leave: each is verified against the nearest
+    of each key that isn't connected to it, until a round finds no link. Any other text has
+    had all its near pairs compared, by all bits and by sets.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
     n = 2 * partitions(docs.sparkSession)
@@ -367,19 +392,20 @@ def near_components(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     one = materialise(rows.groupBy("sig").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in _FP)))
     keyed, ends = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))), "a long, b long"
     met = materialise(_variants(one, _FP[-1], "sig", segments=range(FIRST)).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(most, block), MET))
-    first = materialise(_pairs(met, block_pairs(met).mapInArrow(_pair_blocks(most), ends)), narrow=True)
+    blocks = materialise(block_pairs(met).mapInArrow(_pair_blocks(most), ends), narrow=True)
+    first, unsettled = materialise(_pairs(met, blocks), narrow=True), _unsettled(met, blocks)
     pairs = _alike(first, one, of_all)
     links = _verified(pairs, _sets(docs, keyed, _ends(pairs), width), similarity)
     known = components(links).withColumnRenamed("node", "sig")
     open_ = one.select("sig", *_FP).join(known, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     met = materialise(_variants(open_, _FP[-1], "sig", "component", segments=range(FIRST, SEGMENTS)).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet_rest(most, block), MET))
-    rest = _pairs(met, block_pairs(met).mapInArrow(_pair_blocks(most, most, 1), ends)).join(first, ["a", "b"], "left_anti")
-    rest = materialise(rest, narrow=True)
+    blocks = materialise(block_pairs(met).mapInArrow(_pair_blocks(most, most, 1), ends), narrow=True)
+    rest = materialise(_pairs(met, blocks).join(first, ["a", "b"], "left_anti"), narrow=True)
     met_pairs, alike = first.unionByName(rest), _alike(rest, one, of_all)
     found = _verified(alike, _sets(docs, keyed, _ends(alike), width), similarity)
     links = materialise(links.unionByName(found), narrow=True)
     known = components(links).withColumnRenamed("node", "sig")
-    candidates = _ends(met_pairs)
+    candidates = materialise(_ends(pairs.unionByName(alike)).unionByName(unsettled).unionByName(_unsettled(met, blocks)).distinct(), narrow=True)
     while not candidates.isEmpty():
         open_ = one.join(candidates, "sig").join(known, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         met = materialise(_variants(open_, *_FP, "sig", "component").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet_again(of_all, block), MET), narrow=True)
