@@ -22,11 +22,22 @@ from shoal.llm.simhash_wide import near_components
 from shoal.llm.toxicity import drop_toxic, train_toxicity
 
 
+#: Bytes of a batch that goes to a Python worker, as much as the stages take in one go; Spark's 64 MB are held several times by executor and worker.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches have BATCH bytes or a row, unless it names a size of its own (read when a plan runs, so it stays set)."""
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def few_files(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage with its result in some two partitions a core, whoever writes it."""
+    """The stage with its result in some two partitions a core, whoever writes it, and with small batches."""
 
     @wraps(stage)
     def gathered_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         return gathered(stage(spark, docs, sf_dir))
 
     return gathered_stage
